@@ -5,8 +5,8 @@ W(t) is the part of the source's tokens that are due by t. A document that lies
 token demand is trained at the t with W(t) = u W(1), that is t = (a + b) u / (a + sqrt(a^2 + (b^2 - a^2) u)).
 The mixture is range-sorted by t.
 
-Running sums need no large window: documents go to BINS bins of their source by hash, the bins' sums
-are added up (BINS rows a source), and a window adds up within a bin.
+Running sums need no large window: documents go to 4,096 bins of their source by the MD5 of their id, the
+bins' sums are added up (4,096 rows a source at most), and a window adds up within a bin.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 #: No document is taken more often.
 MOST_REPEATS = 3
-BINS = 1024
+#: Hexadecimal digits of the hash that name a bin.
+BIN_DIGITS = 3
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -60,8 +61,8 @@ def mixed(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str
     last; a null id sorts first in its bin; empty tables give empty results.
     """
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("d"), F.col(source_col)))
-    hashed = F.xxhash64(F.col(id_col))
-    keyed = docs.select("*", size.alias("__size"), key.alias("__key"), hashed.alias("__h"), F.shiftrightunsigned(hashed, 54).cast("int").alias("__bin"))
+    hashed = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit(""))
+    keyed = docs.select("*", size.alias("__size"), key.alias("__key"), hashed.alias("__h"), F.substring(hashed, 1, BIN_DIGITS).alias("__bin"))
     bins = written(keyed.groupBy("__key", "__bin").agg(F.sum("__size").alias("__bin_size")), "bins")
     sources = source_targets(bins.groupBy("__key").agg(F.sum("__bin_size").alias("__source_size")))
     upto = W.partitionBy("__key").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
@@ -95,3 +96,30 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = written(documents(spark, sf_dir).select("doc_id", "source", word_count().alias("words")), "sizes")
     own = mixed(sizes, F.col("words"))
     return own.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("bigint").alias("taken"), F.col("__copies").alias("copies"), F.col("__position").alias("position")).orderBy("position", "doc_id")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0, 2.0, 1.0][(k % 3 + 1)::INT]::DOUBLE AS w, [1.5, 1.0, 0.5][(k % 3 + 1)::INT]::DOUBLE AS a,
+    [0.5, 1.0, 1.5][(k % 3 + 1)::INT]::DOUBLE AS b, source_size * 3.0::DOUBLE AS lim FROM s
+), l AS (
+  SELECT *, lim / w AS ratio, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(lim) OVER (ORDER BY lim / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(w) OVER (ORDER BY lim / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), t AS (
+  SELECT source, source_size, a, b, least((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, k LIMIT 1) * w, lim) AS target FROM l
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.a, t.b,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before,
+    CASE WHEN t.source_size > 0 THEN least(floor(t.target / t.source_size), 3) ELSE 1 END AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, (whole + CASE WHEN before + size / 2.0::DOUBLE < target - whole * source_size AND whole < 3 THEN 1 ELSE 0 END)::INT AS copies,
+    CASE WHEN target > 0 THEN least((before + size / 2.0::DOUBLE) / target, 1.0) ELSE 0.0 END AS u FROM p
+)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies,
+  CASE WHEN copies > 0 THEN (a + b) * u / (a + sqrt(a * a + (b * b - a * a) * u)) END AS position FROM c
+"""

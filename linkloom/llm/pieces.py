@@ -82,7 +82,7 @@ class Normaliser:
     """The model's normaliser, with the source span of every byte that it makes."""
 
     def __init__(self, model: bytes):
-        spec = dict(next((v for k, v in _fields(model) if k == 3), b"") and _fields(next(v for k, v in _fields(model) if k == 3)))
+        spec = dict(_fields(next((v for k, v in _fields(model) if k == 3), b"")))
         trainer = dict(_fields(next((v for k, v in _fields(model) if k == 2), b"")))
         self.map = CharacterMap(spec.get(2, b""))
         self.prefix = bool(spec.get(3, 1))
@@ -199,8 +199,8 @@ def _coded(model: Pieces, batches: Iterator[pa.RecordBatch], most: int = 4 << 20
             yield b.column(0).slice(i, j - i), data, ids, model.library.decode(ids, num_threads=1)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, covered): digests of encoded(), made where it runs.
+def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, covered[, ids]): as encoded(), with digests made where it runs.
 
     covered counts the source bytes that lie in the span of some piece.
     """
@@ -215,9 +215,11 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 covered = int(np.maximum(end - np.maximum(begin, np.r_[0, np.maximum.accumulate(end)[:-1]]), 0).sum())
                 rows.append((len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), covered))
             n, one, two, three = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.array(three, pa.int64())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "covered"])
+            more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(one), pa.array(two), pa.array(three, pa.int64()), *more], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "covered", "ids"][: 5 + len(more)])
 
-    return docs.select(F.col(id_col), text_bytes(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, covered bigint")
+    cols = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, covered bigint" + ", ids array<int>" * with_ids
+    return docs.select(F.col(id_col), text_bytes(text_col).alias("text")).mapInArrow(run, cols)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -227,4 +229,4 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir), model_path())
+    return coded(documents(spark, sf_dir), model_path(), with_ids=False)
