@@ -11,7 +11,7 @@ Equal windows have equal seeds at equal places, so windows can be compared withi
    of the next position that a difference cover samples. A task holds a few buckets at a time, so memory
    doesn't grow with the text. Neighbours in that order that share SPAN bytes are one window's places.
 3. Buckets of more than HOT runs (a line that much of the corpus has) are split up: their windows are dealt
-   by their own hash.
+   by their own hash, each to a bucket that holds nothing else.
 
 What the windows of each document cover goes back to the document by one join.
 """
@@ -181,6 +181,8 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, bucket: np.ndarray) -> np.
 
 def repeated_windows(bucket: np.ndarray, doc: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(run, window) of the windows that begin earlier elsewhere, among the runs of some whole buckets."""
+    if not len(count):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # Each text is laid out with its seed at a multiple of the period: equal windows have equal residues.
     size = np.array([len(t) for t in texts])
     lead = (-place) % PERIOD
@@ -265,43 +267,62 @@ def contested(seeds: DataFrame) -> DataFrame:
 
 def _with_runs(texts: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     """``texts`` (doc, text) with the array ``runs`` of its marks. A document's runs are as many as its bytes allow."""
-    of = marks.groupBy("doc").agg(F.collect_list(F.struct("first", "windows", "seed")).alias("runs"))
+    of = marks.groupBy("doc").agg(F.collect_list(F.struct("first", "windows", "seed", "kind")).alias("runs"))
     return texts.join(of, "doc", how)
 
 
-def _listed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first, windows, seed) of each row of an array column, by first."""
+def _listed(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """(first, windows, seed, kind) of each row of an array column, by first."""
     flat = column.flatten()
-    first, count, seed = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
     ends = np.cumsum(np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(int))
     for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True):
-        order = np.argsort(first[i:j], kind="stable") + i
-        yield first[order], count[order], seed[order]
+        order = np.argsort(fields[0][i:j], kind="stable") + i
+        yield tuple(x[order] for x in fields)
 
 
 def sent(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """(seed, doc, first, place, bytes) of the contested runs."""
+    """(seed, doc, first, place, bytes): where the contested runs are compared.
+
+    A run goes to its seed's bucket with its bytes. Of a hot bucket each window goes to the bucket of its
+    own hash, with the seed in place of the bytes; of equal windows in a batch only the first has to be
+    compared: the others, with place -1, are spread by a key of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(4 * SPAN)
-        for b in batches:
-            docs, seeds, firsts, data, places = [], [], [], [], []
 
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(docs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(places, pa.int16()), pa.array(data, pa.binary())], names=["seed", "doc", "first", "place", "bytes"])
+        def out(seeds: list, docs: list, firsts: list, places: list, data: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(docs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(places, pa.int16()), pa.array(data, pa.binary())], names=["seed", "doc", "first", "place", "bytes"])
 
-            for doc, text, (first, count, seed) in zip(b.column(0).to_pylist(), b.column(1), _listed(b.column(2)), strict=True):
+        for b in batches:
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            hot: list[tuple[np.ndarray, ...]] = []
+            for doc, text, (first, count, seed, kind) in zip(b.column(0).to_pylist(), b.column(1), _listed(b.column(2)), strict=True):
                 text = text.as_py()
-                for f, c, s in zip(first.tolist(), count.tolist(), seed.tolist(), strict=True):
+                for f, c, s, k in zip(first.tolist(), count.tolist(), seed.tolist(), kind.tolist(), strict=True):
                     piece = text[f : f + c - 1 + SPAN]
-                    h = mixed(hasher.every(hasher.prefix(np.frombuffer(piece, np.uint8)), SEED)).view(np.int64) if len(piece) >= SPAN else ()
-                    at = np.flatnonzero(h == s) if len(h) else ()
-                    if len(at):  # else the row is another one of the same id
-                        seeds.append(s), docs.append(doc), firsts.append(f), data.append(piece), places.append(int(at[0]))
-                if len(seeds) >= 50_000:
-                    yield out()
-                    docs, seeds, firsts, data, places = [], [], [], [], []
-            yield out()
+                    if len(piece) < SPAN:
+                        continue  # the run is of another row with the same id
+                    prefix = hasher.prefix(np.frombuffer(piece, np.uint8))
+                    if k == 2:
+                        h = mixed(hasher.every(prefix, SPAN))
+                        hot.append((h, np.full(len(h), s), np.full(len(h), doc), np.arange(f, f + len(h))))
+                        continue
+                    at = np.flatnonzero(mixed(hasher.every(prefix, SEED)).view(np.int64) == s)
+                    if len(at):
+                        for held, x in zip(rows, (s, doc, f, int(at[0]), piece), strict=True):
+                            held.append(x)
+                if len(rows[0]) >= 50_000:
+                    yield out(*rows)
+                    rows = ([], [], [], [], [])
+            yield out(*rows)
+            if hot:
+                key, seed, doc, at = (np.concatenate(x) for x in zip(*hot, strict=True))
+                key = mixed(key ^ mixed(seed.view(np.uint64)))
+                known = ~_first_of(key, doc, at)
+                key = np.where(known, mixed(doc.view(np.uint64) * np.uint64(BASE) + at.astype(np.uint64)), key)
+                yield out(key.view(np.int64), doc, at, np.where(known, -1, 0), [x.tobytes() for x in seed])
 
     return _with_runs(texts, marks, "inner").select("doc", "text", "runs").mapInArrow(run, "seed bigint, doc bigint, first int, place smallint, bytes binary")
 
@@ -313,11 +334,19 @@ def settled(rows: DataFrame) -> DataFrame:
         def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(parts)
             seed, doc, first, place = (t.column(k).to_numpy().astype(np.int64) for k in range(4))
-            texts = t.column(4).to_pylist()
+            long = pa.compute.binary_length(t.column(4)).to_numpy() >= SPAN
             bucket = np.cumsum(np.r_[True, seed[1:] != seed[:-1]])
-            count = np.array([len(x) for x in texts]) - SPAN + 1
-            r, w, n = _stretches(*repeated_windows(bucket, doc, first, count, place, texts))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((first[r] + w).astype(np.int32)), pa.array(n.astype(np.int8))], names=["doc", "first", "windows"])
+            # Single windows: equal where bucket and seed are.
+            one = np.flatnonzero(~long)
+            if len(one):
+                own = np.frombuffer(b"".join(t.column(4).take(one).to_pylist()), np.uint64)
+                late = one[(place[one] < 0) | ~_first_of(mixed(own) ^ mixed(seed[one].view(np.uint64)), doc[one], first[one])]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[late]), pa.array(first[late].astype(np.int32)), pa.array(np.ones(len(late), np.int8))], names=["doc", "first", "windows"])
+            run = np.flatnonzero(long)
+            texts = t.column(4).take(run).to_pylist()
+            count = np.array([len(x) for x in texts], np.int64) - SPAN + 1
+            r, w, n = _stretches(*repeated_windows(bucket[run], doc[run], first[run], count, place[run], texts))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[run][r]), pa.array((first[run][r] + w).astype(np.int32)), pa.array(n.astype(np.int8))], names=["doc", "first", "windows"])
 
         held: list[pa.RecordBatch] = []
         n = 0
@@ -339,35 +368,6 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.repartition(k, "seed").sortWithinPartitions("seed").mapInArrow(run, "doc bigint, first int, windows tinyint")
 
 
-def dealt_windows(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """(doc, first, windows) of the windows that begin earlier elsewhere, among the runs of hot buckets.
-
-    Each window goes to the bucket of its own hash; a batch sends the first of equal windows only.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(4 * SPAN)
-        for b in batches:
-            keys, seeds, docs, ats = [], [], [], []
-            for doc, text, (first, count, seed) in zip(b.column(0).to_pylist(), b.column(1), _listed(b.column(2)), strict=True):
-                text = text.as_py()
-                for f, c, s in zip(first.tolist(), count.tolist(), seed.tolist(), strict=True):
-                    piece = np.frombuffer(text[f : f + c - 1 + SPAN], np.uint8)
-                    if len(piece) >= SPAN:
-                        h = mixed(hasher.every(hasher.prefix(piece), SPAN))
-                        keys.append(h), seeds.append(np.full(len(h), s)), docs.append(np.full(len(h), doc)), ats.append(np.arange(f, f + len(h)))
-            if keys:
-                key, seed, doc, at = (np.concatenate(x) for x in (keys, seeds, docs, ats))
-                known = ~_first_of(key ^ mixed(seed.view(np.uint64)), doc, at)
-                key = np.where(known, mixed(doc.view(np.uint64) * np.uint64(BASE) + at.astype(np.uint64)), key)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seed), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(known)], names=["key", "seed", "doc", "first", "known"])
-
-    windows = _with_runs(texts, marks, "inner").select("doc", "text", "runs").mapInArrow(run, "key bigint, seed bigint, doc bigint, first int, known boolean")
-    here = F.struct("doc", "first")
-    lead = F.min(here).over(W.partitionBy("key", "seed"))
-    return windows.withColumn("lead", lead).filter(F.col("known") | (here > F.col("lead"))).select("doc", "first", F.lit(1).cast("tinyint").alias("windows"))
-
-
 def covered(first: np.ndarray, count: np.ndarray, size: int) -> list[tuple[int, int]]:
     """The bytes that windows cover, as maximal stretches; windows come by their first."""
     out: list[tuple[int, int]] = []
@@ -392,17 +392,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     own = texts.select("doc", "text")
     marks = written(contested(seeded(own)), "marks")
     release(docs.sparkSession)
-    some = written(settled(sent(own, marks.filter("kind = 1"))), "settled")
+    some = written(settled(sent(own, marks.filter("kind > 0"))), "settled")
     repeated = marks.filter("kind = 0").select("doc", "first", "windows").unionByName(some)
-    hot = marks.filter("kind = 2")
-    if not hot.isEmpty():
-        repeated = repeated.unionByName(written(dealt_windows(own, hot), "hot"))
     release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, (first, count, _) in zip(b.column(1), _listed(b.column(3)), strict=True):
+            for text, (first, count, _, _) in zip(b.column(1), _listed(b.column(3)), strict=True):
                 text = text.as_py()
                 gone = covered(first, count, len(text))
                 stops = [0, *(j for _, j in gone)]
@@ -413,7 +410,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc", "none", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "kept"])
 
-    joined = _with_runs(texts, repeated.withColumn("seed", F.lit(0).cast("bigint")), "left").select("doc", "text", "none", "runs")
+    joined = _with_runs(texts, repeated.select("*", F.lit(0).cast("bigint").alias("seed"), F.lit(0).cast("tinyint").alias("kind")), "left").select("doc", "text", "none", "runs")
     out = joined.mapInArrow(run, "doc bigint, none boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<int>, ends array<int>, kept binary")
     key = F.when(~F.col("none"), F.col("doc")).cast(docs.schema[id_col].dataType).alias(id_col)
     return out.select(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", *(["kept"] if keep_text else []))
