@@ -8,33 +8,38 @@ bounded sample, on which a sparse linear scorer over hashed features is trained;
 
 from __future__ import annotations
 
-import itertools
+import operator
 import pickle
-import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkloom.llm.common import documents, text_bytes, written
-from linkloom.llm.linecrf import BLANK, LETTERS, SYMBOLS, UPPER, _without, repeated_words
+from linkloom.llm.linecrf import BLANK, LETTERS, SYMBOLS, UPPER, _without
 
 #: Documents that the scorer is trained on, and labelled documents that the lexicon is drawn from, by hash.
 SAMPLE, LEXICON_SAMPLE = 12_000, 12_000
 HASH_BITS = 18
 ABSTAIN, GOOD, BAD = 0, 1, 2
-JUNK = ("symbols", "upper", "beside", "pipes", "repeats", "variety", "prose", "label")
+JUNK = ("symbols", "upper", "beside", "pipes", "variety", "prose", "label")
 TOXIC = ("insults", "lexicon", "label")
 #: Kept: a probability of being bad below this.
 THRESHOLD = 0.5
-INSULTS = re.compile(rb"\b(?:idiot|moron|stupid|loser|scum|trash|pathetic|worthless|disgusting|clown)s?\b", re.I)
-WORD = re.compile(r"[^\W\d_]+")
-#: Letters of a word's beginning that count as a feature of their own.
+INSULTS = frozenset(b"idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns".split())
+#: First bytes of a word that count as a feature of their own.
 STEM = 4
+#: ASCII letters are lower-cased; what else is ASCII parts words.
+FOLD = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+#: Starting values that keep the hashes of words, stems and names apart.
+OF_WORD, OF_STEM, OF_NAME = 0, 0x5E3D, 0x7A11
+STEPS = {"symbols": (0.02, 0.1, 0.3, 0.6), "upper": (0.1, 0.2, 0.35, 0.5), "bangs": (0.05, 0.3), "beside": (0.02, 0.1, 0.3), "pipes": (0.02, 0.2), "variety": (0.2, 0.4, 0.6), "letters": (0.5, 0.7)}
 
 
 def style(text: bytes) -> dict[str, float]:
@@ -48,57 +53,53 @@ def style(text: bytes) -> dict[str, float]:
         "symbols": _without(text, SYMBOLS) / n,
         "upper": _without(text, UPPER) / letters,
         "bangs": text.count(b"!") / n,
-        "beside": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        "beside": sum(map(operator.eq, words, words[1:])) / n,
         "pipes": text.count(b"|") / n,
-        "repeats": repeated_words(words) / n,
         "variety": len(set(words)) / n,
         "letters": letters / size,
-        "notices": len(re.findall(rb"licen[sc]e|rights reserved|copyright|cookie|subscribe", text, re.I)) / n,
     }
 
 
 def junk_votes(s: dict[str, float]) -> list[int]:
     """The heuristic labellers' votes on junk, in the order of JUNK without the label."""
     if not s["n"]:
-        return [ABSTAIN] * 7
-    few = s["n"] < 20
-    bad = [
-        s["symbols"] > 0.3,
-        s["upper"] > 0.5,
-        s["beside"] > 0.2,
-        s["pipes"] > 0.2,
-        not few and s["repeats"] > 0.4,
-        not few and s["n"] < 2000 and s["variety"] < 0.25,
-    ]
-    prose = s["symbols"] < 0.05 and s["upper"] < 0.2 and s["beside"] < 0.05 and s["bangs"] < 0.1 and s["repeats"] <= 0.4
+        return [ABSTAIN] * 6
+    bad = [s["symbols"] > 0.3, s["upper"] > 0.5, s["beside"] > 0.2, s["pipes"] > 0.2, 20 <= s["n"] < 2000 and s["variety"] < 0.25]
+    prose = s["symbols"] < 0.05 and s["upper"] < 0.2 and s["beside"] < 0.05 and s["bangs"] < 0.1
     # Each kind of junk trips one labeller or two: the others then have nothing to say, only the last vouches.
     return [BAD if x else ABSTAIN for x in bad] + [GOOD if prose else ABSTAIN]
 
 
-def words_of(text: bytes) -> set[str]:
-    return set(WORD.findall(text.decode("utf-8", "replace").lower()))
+def words_of(text: bytes) -> set[bytes]:
+    return set(text.translate(FOLD).split())
 
 
-def stems(words: set[str]) -> set[str]:
+def stems(words: set[bytes]) -> set[bytes]:
     return {w[:STEM] for w in words if len(w) > STEM}
 
 
-def in_lexicon(words: set[str], own: set[str]) -> int:
-    """How many entries of the lexicon a text has, of two kinds: words and stems."""
-    return len(words & own) + len(words & {"^" + x for x in stems(own)})
+class Lexicon(NamedTuple):
+    """Words and stems of toxic texts."""
 
+    words: frozenset[bytes] = frozenset()
+    stems: frozenset[bytes] = frozenset()
 
-def hashed(text: bytes, s: dict[str, float], lexicon: set[str]) -> np.ndarray:
+    def hits(self, words: set[bytes], stems: set[bytes]) -> int:
+        return len(self.words & words) + len(self.stems & stems)
+
+
+def hashed(text: bytes, lexicon: Lexicon) -> np.ndarray:
     """Distinct feature numbers of a text: its words, their stems, its style and its lexicon hits in steps."""
-    words = words_of(text)
-    names = [*words, *("^" + x for x in stems(words))]
-    hits = in_lexicon(lexicon, words)
-    names += [f"=lexicon>{k}" for k in (0, 1) if hits > k]
-    if INSULTS.search(text):
-        names.append("=insult")
-    steps = {"symbols": (0.02, 0.1, 0.3, 0.6), "upper": (0.1, 0.2, 0.35, 0.5), "bangs": (0.05, 0.3), "beside": (0.02, 0.1, 0.3), "pipes": (0.02, 0.2), "repeats": (0.1, 0.3, 0.5), "variety": (0.2, 0.4, 0.6), "letters": (0.5, 0.7)}
-    names += [f"={k}>{x}" for k, xs in steps.items() for x in xs if s[k] > x]
-    return np.unique(np.array([1, *(2 + zlib.crc32(x.encode()) % ((1 << HASH_BITS) - 2) for x in names)], np.int64))
+    words, s = words_of(text), style(text)
+    parts = stems(words)
+    names = [f"{k}>{x}" for k, xs in STEPS.items() for x in xs if s[k] > x]
+    hits = lexicon.hits(words, parts)
+    names += [f"lexicon>{k}" for k in (0, 1) if hits > k]
+    if not INSULTS.isdisjoint(words):
+        names.append("insult")
+    crc = zlib.crc32
+    every = [*map(crc, words), *(crc(x, OF_STEM) for x in parts), *(crc(x.encode(), OF_NAME) for x in names)]
+    return np.unique(np.concatenate([[1], 2 + np.array(every, np.int64) % ((1 << HASH_BITS) - 2)]).astype(np.int64))
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, trusted: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -137,11 +138,11 @@ def em(patterns: np.ndarray, counts: np.ndarray, trusted: int, rounds: int = 200
 class Scorer:
     """Sparse weights over hashed features; proximal gradient steps with per-weight rates (FTRL)."""
 
-    def __init__(self, weights: np.ndarray, lexicon: set[str]):
+    def __init__(self, weights: np.ndarray, lexicon: Lexicon):
         self.weights, self.lexicon = weights, lexicon
 
     @classmethod
-    def trained(cls, rows: list[np.ndarray], target: np.ndarray, lexicon: set[str], epochs: int = 10, rate: float = 0.3, l1: float = 4.0, l2: float = 0.5) -> Scorer:
+    def trained(cls, rows: list[np.ndarray], target: np.ndarray, lexicon: Lexicon, epochs: int = 10, rate: float = 0.3, l1: float = 4.0, l2: float = 0.5) -> Scorer:
         z, sq = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
         w = np.zeros(1 << HASH_BITS)
         order = np.random.default_rng(7)
@@ -158,28 +159,29 @@ class Scorer:
         return cls(w, lexicon)
 
     def probability(self, text: bytes) -> float:
-        features = hashed(text, style(text), self.lexicon)
+        features = hashed(text, self.lexicon)
         return float(1 / (1 + np.exp(-np.clip(self.weights[features].sum(), -30, 30))))
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, sample: int = LEXICON_SAMPLE) -> set[str]:
-    """Words, and stems with a caret, that toxic documents of a bounded labelled sample have and clean ones lack."""
+def lexicon(docs: DataFrame, labels: DataFrame, sample: int = LEXICON_SAMPLE) -> Lexicon:
+    """Words and stems that toxic documents of a bounded labelled sample have and clean ones lack."""
     ids = labels.filter("toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [w for w in map(words_of, b.column(0).to_pylist())]
-            names = [[*w, *("^" + x for x in stems(w))] for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([x for r in names for x in r]), pa.array([t for r, t in zip(names, b.column(1).to_pylist(), strict=True) for _ in r], pa.int32())], names=["name", "toxic"])
+            words = [words_of(t) for t in b.column(0).to_pylist()]
+            names = [[*(b"w" + x for x in w), *(b"s" + x for x in stems(w))] for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([x for r in names for x in r], pa.binary()), pa.array([t for r, t in zip(names, b.column(1).to_pylist(), strict=True) for _ in r], pa.int32())], names=["name", "toxic"])
 
     texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int"))
-    seen = texts.mapInArrow(run, "name string, toxic int").groupBy("name").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    seen = texts.mapInArrow(run, "name binary, toxic int").groupBy("name").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
     # An entry is in 2 % of the toxic documents or more: at most fifty times a document's words.
     least = max(5, ids.filter("toxic = 1").count() // 50)
-    return {r.name for r in seen.filter((F.col("bad") >= least) & (F.col("bad") >= 0.95 * F.col("n"))).collect()}
+    found = [bytes(r.name) for r in seen.filter((F.col("bad") >= least) & (F.col("bad") >= 0.95 * F.col("n"))).collect()]
+    return Lexicon(frozenset(x[1:] for x in found if x[:1] == b"w"), frozenset(x[1:] for x in found if x[:1] == b"s"))
 
 
-def votes(docs: DataFrame, labels: DataFrame, words: set[str]) -> DataFrame:
+def votes(docs: DataFrame, labels: DataFrame, words: Lexicon) -> DataFrame:
     """(doc_id, junk, toxic): each document's votes, three values a labeller, as one number for each fact."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -190,16 +192,15 @@ def votes(docs: DataFrame, labels: DataFrame, words: set[str]) -> DataFrame:
                 v = junk_votes(style(t))
                 junk.append(sum(x * 3**k for k, x in enumerate(v)))
                 own = words_of(t)
-                hit = in_lexicon(words, own) > 0
-                insult = INSULTS.search(t) is not None
-                toxic.append((BAD if insult else ABSTAIN) + 3 * (ABSTAIN if not words else BAD if hit else GOOD))
+                hit = words.hits(own, stems(own)) > 0
+                toxic.append((ABSTAIN if INSULTS.isdisjoint(own) else BAD) + 3 * (BAD if hit else GOOD if words.words or words.stems else ABSTAIN))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(junk, pa.int32()), pa.array(toxic, pa.int32())], names=["doc_id", "junk", "toxic"])
 
     own = docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, junk int, toxic int")
     said = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("tox"))
     label = lambda c, bad: F.when(F.col(c).isNull(), ABSTAIN).when(F.col(c) == bad, BAD).otherwise(GOOD)
     both = own.join(said, "doc_id", "left")
-    return both.select("doc_id", (F.col("junk") + 3**7 * label("quality", 0)).alias("junk"), (F.col("toxic") + 9 * label("tox", 1)).alias("toxic"))
+    return both.select("doc_id", (F.col("junk") + 3**6 * label("quality", 0)).alias("junk"), (F.col("toxic") + 9 * label("tox", 1)).alias("toxic"))
 
 
 def posteriors(cast: DataFrame, fact: str, labellers: int) -> dict[int, float]:
@@ -222,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [hashed(t, style(t), words) for t in b.column(1).to_pylist()]
+            rows = [hashed(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "junk", "toxic", "features"])
 
     # At most ``sample`` rows of three numbers: a proven bound.
@@ -249,8 +250,6 @@ def scored(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Dat
             p = [own.probability(t) for t in (x.as_py() or b"" for x in texts)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, "__p_bad"])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(run, T.StructType([*kind.fields, T.StructField("__p_bad", T.DoubleType())]))
 
 
@@ -261,7 +260,3 @@ def op8_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scored(docs.select("doc_id", "text"), scorer)
     return out.select("doc_id", F.col("__p_bad").alias("p_bad"), (1 - F.col("__p_bad")).alias("score"), (F.col("__p_bad") < THRESHOLD).alias("kept"))
 
-
-def all_patterns(labellers: int) -> Iterator[tuple[int, ...]]:
-    """Every pattern of votes: what bounds the table that EM runs on."""
-    return itertools.product((ABSTAIN, GOOD, BAD), repeat=labellers)
