@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import documents
+from linkloom.llm.common import documents, written
 
 ORDER = 4
 #: 4-grams of a language that its model holds at most, the most frequent: bounds what is broadcast.
@@ -195,7 +195,8 @@ class Identifier:
 
 def train(texts: DataFrame, most: int = MOST_GRAMS) -> Identifier:
     """Models of all languages in ``texts`` (lang, text); rows with a null language or text are left out."""
-    counts = bounded(gram_counts(texts.filter("lang IS NOT NULL AND text IS NOT NULL")).filter("lang <> 'und'"), most).orderBy("lang", "gram").toArrow()
+    every = written(gram_counts(texts.filter("lang IS NOT NULL AND text IS NOT NULL AND lang <> 'und'")), "grams")
+    counts = bounded(every, most).orderBy("lang", "gram").toArrow()
     lang, gram, n = (counts.column(c) for c in ("lang", "gram", "n"))
     kinds = pa.compute.unique(lang).to_pylist()
     own = {}
