@@ -4,12 +4,502 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from linkloom.functions import address as A
+from linkloom.functions import constants as K
+from linkloom.functions import similarity as S
+from linkloom.functions import text as X
+from linkloom.operators import blocking, consensus, decide, features, learn, metrics, records, rules
+from linkloom.plans.views import SQL as VIEWS
+from linkloom.plans.views import view
+from linkloom.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# --- SQL of the normal forms -------------------------------------------------------------------------
+
+
+def _in(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+def _squeeze(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _compress(x: str, endings=K.COMPRESSED_ENDINGS) -> str:
+    for d in K.DOMAINS:
+        x = f"trim(regexp_replace({x}, '{d.replace('.', chr(92) + '.')}$', ''))"
+    x = f"regexp_replace({x}, '[^a-z0-9]', '', 'g')"
+    for e in endings:
+        x = f"regexp_replace({x}, '{e}$', '')"
+    return x
+
+
+def _toks(x: str, stop, least: int) -> str:
+    return f"list_sort(list_distinct(list_filter(regexp_extract_all({x}, '[a-z0-9]+'), lambda w: length(w) >= {least} AND w NOT IN {_in(stop)})))"
+
+
+_CLEAN = lambda x: _squeeze(f"lower(coalesce({x}, ''))")
+_NORMAL = lambda x: _squeeze(rf"regexp_replace(replace(lower(coalesce({x}, '')), '&', ' and '), '[^a-z0-9_\s]', ' ', 'g')")
+_ZEROS = r"lambda n: regexp_replace(n, '^0+([0-9])', '\1')"
+_ABBR = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in K.ADDRESS_WORDS.items()) + " ELSE w END"
+_LEGAL = "(?i)" + "|".join(K.LEGAL_PATTERNS)
+_WORDS = "(?i)\\b(" + "|".join(w.replace(".", "\\.") for w in sorted(K.LEGAL_WORDS, key=len, reverse=True)) + ")\\.?\\b"
+
+
+def _norm(src: str) -> str:
+    """The SQL of records.rule_form(), for ASCII."""
+    return rf"""SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(addr, '\b[0-9]+\b'), {_ZEROS}))) AS nums,
+      list_sort(list_distinct(CASE WHEN country IN ('US', 'France') THEN regexp_extract_all(raw_addr, '\b[0-9]{{5}}\b') WHEN country = 'India' THEN regexp_extract_all(raw_addr, '\b[0-9]{{6}}\b') ELSE [] END)) AS post,
+      list_slice(list_filter(regexp_extract_all(addr, '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN {_in(K.STOPWORDS)}), 1, 3) AS street,
+      {_toks("core", K.STOPWORDS, 3)} AS toks, {_toks(_NORMAL("raw_name"), (*K.LEGAL_TOKENS, *K.NAME_STOPWORDS), 2)} AS ntoks,
+      list_sort(list_distinct(list_transform(list_filter(string_split({_NORMAL("raw_addr")}, ' '), lambda w: length(w) > 1 AND w NOT IN {_in(K.NAME_STOPWORDS)}), lambda w: {_ABBR}))) AS atoks,
+      {_squeeze("regexp_replace(addr, '[0-9]+', ' ', 'g')")} AS nonum
+    FROM (SELECT *, {_compress("name")} AS comp, {_squeeze(f"regexp_replace(name, '{_LEGAL}', ' ', 'g')")} AS core
+      FROM (SELECT entity_id AS id, country, business_name AS raw_name, business_address AS raw_addr, {_CLEAN("business_name")} AS name, {_CLEAN("business_address")} AS addr FROM {src}))"""
+
+
+def _with(*more: str) -> str:
+    base = [f"{k} AS ({v})" for k, v in VIEWS.items()] + [f"q AS MATERIALIZED ({_norm('s1')})", f"t AS MATERIALIZED ({_norm('tgt')})"]
+    return "WITH " + ",\n".join([*base, *more]) + "\n"
+
+
+def _postings(kind: str, keys: str) -> list[str]:
+    own = f"SELECT DISTINCT country, id, unnest({keys}) AS key FROM"
+    return [f"qk_{kind} AS ({own} q)", f"tk_{kind} AS ({own} t)", f"df_{kind} AS (SELECT country, key, count(*) AS df FROM tk_{kind} GROUP BY ALL)"]
+
+
+def _ranked(kind: str, join: str = "LEFT JOIN") -> str:
+    return f"rk_{kind} AS (SELECT k.*, coalesce(d.df, 0) AS df, row_number() OVER (PARTITION BY k.id ORDER BY coalesce(d.df, 0), k.key) AS rank FROM qk_{kind} k {join} df_{kind} d USING (country, key))"
+
+
+_PAIR = "list_transform(flatten(list_transform({a}, lambda x: list_transform({b}, lambda y: x || '|' || y))), lambda z: z)"
+_COMP = _postings("comp", "CASE WHEN comp <> '' THEN [comp] ELSE [] END") + ["c_comp AS (SELECT DISTINCT a.id AS query_id, b.id AS target_id FROM qk_comp a JOIN tk_comp b USING (country, key))"]
+_TOKEN = [*_postings("token", "toks"), _ranked("token"), "c_token AS (SELECT DISTINCT a.id AS query_id, b.id AS target_id FROM rk_token a JOIN tk_token b USING (country, key) WHERE a.rank <= 2 AND a.df <= 250)"]
+_LOST = [
+    "lost AS (SELECT * FROM rk_token WHERE rank = 1 AND df BETWEEN 1 AND 600 AND id NOT IN (SELECT query_id FROM c_comp UNION ALL SELECT query_id FROM c_token))",
+    "c_lost AS (SELECT DISTINCT l.id AS query_id, f.id AS target_id FROM lost l JOIN (SELECT *, row_number() OVER (PARTITION BY country, key ORDER BY id) AS n FROM tk_token) f USING (country, key) WHERE f.n <= 100)",
+]
+_PLACES = [
+    *_postings("post", _PAIR.format(a="post", b="nums")), *_postings("place", _PAIR.format(a="street", b="list_slice(nums, 1, 2)")),
+    *(f"c_{k} AS (SELECT DISTINCT a.id AS query_id, b.id AS target_id FROM qk_{k} a JOIN tk_{k} b USING (country, key) JOIN df_{k} USING (country, key) WHERE df <= 60)" for k in ("post", "place")),
+]
+_CAND = [*_COMP, *_TOKEN, *_LOST, *_PLACES, "cand AS MATERIALIZED (SELECT * FROM c_comp UNION SELECT * FROM c_token UNION SELECT * FROM c_lost UNION SELECT * FROM c_post UNION SELECT * FROM c_place)"]
+_JAC = "CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0::DOUBLE END"
+_EVID = [
+    *_CAND,
+    f"""evid AS MATERIALIZED (SELECT query_id, target_id, {_JAC.format(a="q.ntoks", b="t.ntoks")} AS name_jac, {_JAC.format(a="q.atoks", b="t.atoks")} AS addr_jac,
+      len(list_intersect(q.nums, t.nums)) > 0 AS num_agree, len(t.atoks) = 0 AS bare, q.comp <> '' AND q.comp = t.comp AS same_comp
+    FROM cand JOIN q ON q.id = query_id JOIN t ON t.id = target_id)""",
+    "scored AS MATERIALIZED (SELECT query_id, target_id, (name_jac + addr_jac) / 2 AS p FROM evid)",
+    "ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, target_id) AS rank, max(p) OVER (PARTITION BY query_id) AS best FROM scored)",
+    "ids AS (SELECT entity_id AS query_id FROM s1)",
+]
+_R1 = "run_a AS MATERIALIZED (SELECT query_id, target_id, row_number() OVER (PARTITION BY query_id ORDER BY name_jac DESC, target_id) AS rank FROM evid WHERE name_jac >= 0.6)"
+_R2S = "CASE WHEN addr_jac >= 0.5 OR (num_agree AND addr_jac >= 0.28) THEN 0.6::DOUBLE + addr_jac WHEN name_jac >= 0.7 THEN 0.5::DOUBLE + name_jac WHEN addr_jac >= 0.35 AND name_jac >= 0.35 THEN 0.4::DOUBLE + addr_jac + name_jac END"
+_R2 = f"run_b AS MATERIALIZED (SELECT * FROM (SELECT query_id, target_id, row_number() OVER (PARTITION BY query_id ORDER BY {_R2S} DESC, target_id) AS rank FROM evid WHERE {_R2S} IS NOT NULL) WHERE rank <= 5)"
+_RUNS = [*_EVID, _R1, _R2]
+_BOTH = "b AS (SELECT query_id, target_id, a.rank AS ra, b.rank AS rb FROM run_a a FULL JOIN run_b b USING (query_id, target_id))"
+
+
+# --- the same as DataFrames --------------------------------------------------------------------------
+
+
+def forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return records.rule_form(view(spark, sf_dir, "s1")), records.rule_form(view(spark, sf_dir, "tgt"))
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "s1").select(F.col("entity_id").alias("query_id"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.rule_candidates(*forms(spark, sf_dir))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    return blocking.looked_up(blocking.rule_candidates(q, t), q, t)
+
+
+def set_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native evidence only: what the SQL checks compare."""
+    own = pairs(spark, sf_dir)
+    return own.select("query_id", "target_id", S.jaccard(F.col("q.ntoks"), F.col("t.ntoks")).alias("name_jac"), S.jaccard(F.col("q.atoks"), F.col("t.atoks")).alias("addr_jac"), S.overlap(F.col("q.nums"), F.col("t.nums")).alias("num_agree"), (F.size("t.atoks") == 0).alias("bare"), ((F.col("q.comp") != "") & (F.col("q.comp") == F.col("t.comp"))).alias("same_comp"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_evidence(spark, sf_dir).select("query_id", "target_id", ((F.col("name_jac") + F.col("addr_jac")) / 2).alias("p"))
+
+
+def run_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.matches(rules.judged(set_evidence(spark, sf_dir), "R1"), None).drop("score")
+
+
+def run_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.matches(rules.judged(set_evidence(spark, sf_dir), "R2"), 5).drop("score")
+
+
+def _long(*names: str) -> list[Column]:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query: er_views -> blocking -> Jaccard -> one row for each query record."""
-    raise NotImplementedError
+    return QUERIES["link_names"](spark, sf_dir)
+
+
+@query(
+    "link_names",
+    _with(*_postings("n", "ntoks"), _ranked("n", "JOIN"), "p AS (SELECT DISTINCT a.id AS query_id, b.id AS target_id FROM rk_n a JOIN tk_n b USING (country, key) WHERE rank <= 2 AND df <= 300)",
+          f"m AS (SELECT query_id, target_id, {_JAC.format(a='q.ntoks', b='t.ntoks')} AS j FROM p JOIN q ON q.id = query_id JOIN t ON t.id = target_id)")
+    + "SELECT entity_id AS query_id, coalesce(string_agg(target_id, ',' ORDER BY target_id), '') AS target_ids FROM s1 LEFT JOIN (SELECT * FROM m WHERE j >= 0.6) ON query_id = entity_id GROUP BY entity_id",
+)
+def link_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rarest name tokens, capped; Jaccard from 0.6; a row for every query."""
+    q, t = forms(spark, sf_dir)
+    found = blocking.rarest(blocking.postings(q, "name_token"), blocking.postings(t, "name_token"), 2, 300, absent_count=False)
+    own = blocking.looked_up(found, q.select("id", "ntoks"), t.select("id", "ntoks")).filter(S.jaccard(F.col("q.ntoks"), F.col("t.ntoks")) >= 0.6)
+    return tables.joined(own.select("query_id", "target_id", F.lit(1).alias("rank")), ids(spark, sf_dir), True, ("query_id", "target_ids"))
+
+
+for _v in ("s1", "s2", "s3", "truth"):
+    query(f"view_{_v}", VIEWS[_v])(lambda s, d, v=_v: view(s, d, v))
+
+_J = lambda x: f"array_to_string({x}, ' ')"
+_CORE2 = _squeeze(f"regexp_replace({_squeeze(f'regexp_replace(name, {chr(39)}[^a-z0-9{chr(92)}s]{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, '{_WORDS}', ' ', 'g')")
+
+
+@query(
+    "name_forms",
+    _with() + f"""SELECT id, name, core, comp, {_compress("name", K.CONSENSUS_ENDINGS)} AS comp2, {_J("toks")} AS toks, {_J("ntoks")} AS ntoks, {_NORMAL("raw_name")} AS normal, {_CORE2} AS core2,
+      CASE WHEN regexp_matches(core, '[0-9]') AND translate(core, '{K.LEET[0]}', '{K.LEET[1]}') <> core THEN translate(core, '{K.LEET[0]}', '{K.LEET[1]}') ELSE '' END AS leet,
+      {_J("list_sort(string_split(core, ' '))")} AS sorted_words, array_to_string(list_transform(toks, lambda w: w[1]), '') AS initials, coalesce(toks[1], '') AS first_word, coalesce(toks[-1], '') AS last_word,
+      {_J("list_filter(ntoks, lambda w: regexp_matches(w, '^[0-9]+$'))")} AS numbers, regexp_replace(lower(raw_name), '[^a-z0-9]', '', 'g') AS compact,
+      CASE WHEN length(core) >= 3 THEN len(list_distinct(list_transform(range(1, length(core) - 1), lambda i: substring(core, i, 3)))) ELSE 0 END AS n_grams
+    FROM t""",
+)
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every built-in name form of the targets."""
+    raw = view(spark, sf_dir, "tgt").select(F.col("entity_id").alias("id"), F.col("business_name").alias("raw"))
+    t = records.rule_form(view(spark, sf_dir, "tgt")).join(raw, "id")
+    j = lambda c: F.array_join(c, " ")
+    return t.select(
+        "id", "name", "core", "comp", X.compressed(F.col("name"), K.CONSENSUS_ENDINGS).alias("comp2"), j("toks").alias("toks"), j("ntoks").alias("ntoks"), X.normal(F.col("raw")).alias("normal"),
+        X.without_legal_words(X.plain(F.col("name"))).alias("core2"), X.leet(F.col("core")).alias("leet"), X.sorted_words(F.col("core")).alias("sorted_words"), X.initials(F.col("toks")).alias("initials"),
+        X.first_word(F.col("toks")).alias("first_word"), X.last_word(F.col("toks")).alias("last_word"), j(X.numbers_in(F.col("ntoks"))).alias("numbers"), X.compact(F.col("raw")).alias("compact"),
+        F.size(X.grams(F.col("core"), 3)).cast("bigint").alias("n_grams"),
+    )
+
+
+@query("address_forms", _with() + rf"""SELECT id, addr, {_J("nums")} AS nums, {_J("post")} AS post, {_J("street")} AS street, {_J("atoks")} AS atoks, nonum,
+      {_J("list_sort(list_distinct(regexp_extract_all(raw_addr, '" + chr(92) + "b[0-9]+" + chr(92) + "b')))")} AS raw_numbers,
+      {_squeeze(r"regexp_replace(regexp_replace(addr, '\b0+([0-9]+)\b', '\1', 'g'), '[^a-z0-9_\s]', ' ', 'g')")} AS index_addr,
+      CASE WHEN country = 'India' THEN regexp_extract(raw_addr, '\b([1-9][0-9]{{5}})\b', 1) ELSE regexp_extract(raw_addr, '\b([0-9]{{5}})\b', 1) END AS zip FROM t""")
+def address_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every built-in address form of the targets."""
+    raw = view(spark, sf_dir, "tgt").select(F.col("entity_id").alias("id"), F.col("business_address").alias("raw"))
+    t = records.rule_form(view(spark, sf_dir, "tgt")).join(raw, "id")
+    j = lambda c: F.array_join(c, " ")
+    return t.select("id", "addr", j("nums").alias("nums"), j("post").alias("post"), j("street").alias("street"), j("atoks").alias("atoks"), "nonum", j(A.raw_numbers(F.col("raw"))).alias("raw_numbers"), X.index_address(F.col("raw")).alias("index_addr"), "zip")
+
+
+@query("feature_forms")
+def feature_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = records.feature_form(view(spark, sf_dir, "tgt"))
+    return own.select("id", "country", "n.full", "n.core", "n.comp", "n.leet", "n.initials", F.array_join("n.soundex", " ").alias("soundex"), "a.house", "a.state", "a.postal", "a.city", "a.unit", "a.po_box")
+
+
+@query("token_frequency", _with() + "SELECT country, key, count(*) AS df FROM (SELECT country, unnest(toks) AS key FROM t) GROUP BY ALL")
+def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.frequencies(blocking.postings(forms(spark, sf_dir)[1], "token"))
+
+
+@query("pool_size", _with() + "SELECT country, count(*) AS pool, count(DISTINCT name) AS names FROM t GROUP BY country")
+def pool_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms(spark, sf_dir)[1].groupBy("country").agg(F.count(F.lit(1)).alias("pool"), F.count_distinct("name").alias("names"))
+
+
+@query("leet_by_frequency", _with("f AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(core, ' ')) AS w FROM t) GROUP BY w)", f"x AS (SELECT id, unnest(string_split(core, ' ')) AS w, generate_subscripts(string_split(core, ' '), 1) AS i FROM t)") + f"SELECT id, string_agg(CASE WHEN regexp_matches(w, '[0-9]') AND regexp_matches(w, '[a-z]') AND coalesce(g.n, 0) > coalesce(f.n, 0) THEN translate(w, '{K.LEET[0]}', '{K.LEET[1]}') ELSE w END, ' ' ORDER BY i) AS fixed FROM x LEFT JOIN f USING (w) LEFT JOIN (SELECT w AS w2, n FROM f) g ON g.w2 = translate(x.w, '{K.LEET[0]}', '{K.LEET[1]}') GROUP BY id")
+def leet_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed word is decoded only if the decoded form is more frequent in the names."""
+    t = forms(spark, sf_dir)[1].select("id", F.posexplode(F.split("core", " ")).alias("i", "w"))
+    f = t.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    own = t.withColumn("d", F.translate("w", *K.LEET)).join(f, "w", "left").join(f.select(F.col("w").alias("d"), F.col("n").alias("m")), "d", "left")
+    fixed = F.when(F.col("w").rlike("[0-9]") & F.col("w").rlike("[a-z]") & (F.coalesce("m", F.lit(0)) > F.coalesce("n", F.lit(0))), F.col("d")).otherwise(F.col("w"))
+    return own.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", fixed.alias("x"))))["x"], " ").alias("fixed"))
+
+
+@query("block_compressed", _with(*_COMP) + "SELECT * FROM c_comp")
+def block_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    return blocking.capped(blocking.postings(q, "comp"), blocking.postings(t, "comp"))
+
+
+@query("block_rarest", _with(*_COMP, *_TOKEN, *_LOST) + "SELECT * FROM c_token UNION SELECT * FROM c_lost")
+def block_rarest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    comp = blocking.capped(blocking.postings(q, "comp"), blocking.postings(t, "comp"))
+    return blocking.rarest(blocking.postings(q, "token"), blocking.postings(t, "token"), 2, 250, True, (600, 100), comp)
+
+
+@query("block_places", _with(*_PLACES) + "SELECT * FROM c_post UNION SELECT * FROM c_place")
+def block_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    return blocking.union(*(blocking.capped(blocking.postings(q, k), blocking.postings(t, k), 60) for k in ("postal_number", "street_number")))
+
+
+@query("block_rule", _with(*_CAND) + "SELECT * FROM cand")
+def block_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir)
+
+
+@query("block_prefix", _with(*_postings("p5", "CASE WHEN length(comp) >= 5 THEN [comp[1:5]] ELSE [] END")) + "SELECT DISTINCT a.id AS query_id, b.id AS target_id FROM qk_p5 a JOIN tk_p5 b USING (country, key) JOIN df_p5 USING (country, key) WHERE df <= 300")
+def block_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    return blocking.capped(blocking.postings(q, "prefix5"), blocking.postings(t, "prefix5"), 300)
+
+
+@query(
+    "block_jaccard_prefix",
+    _with(*_postings("n", "ntoks"), _ranked("n"), "qn AS (SELECT id, count(*) AS n FROM qk_n GROUP BY id)", "tn AS (SELECT id, count(*) AS n FROM tk_n GROUP BY id)",
+          "o AS (SELECT r.*, max(CASE WHEN df <= 3000 THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS fit FROM rk_n r JOIN qn USING (id) WHERE rank <= n - ceil(n * 0.3) + 1)",
+          "p AS (SELECT DISTINCT o.id AS query_id, k.id AS target_id FROM o JOIN tk_n k USING (country, key) WHERE o.df <= 3000 OR (fit = 0 AND rank = 1))")
+    + "SELECT query_id, target_id FROM p JOIN qn ON qn.id = query_id JOIN tn ON tn.id = target_id WHERE tn.n >= ceil(qn.n * 0.3) AND tn.n <= floor(qn.n / 0.3)",
+)
+def block_jaccard_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    return blocking.prefix_filtered(blocking.postings(q, "name_token"), blocking.postings(t, "name_token"))
+
+
+@query("block_two_tokens")
+def block_two_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rarest address tokens and rarest name tokens."""
+    q, t = forms(spark, sf_dir)
+    return blocking.union(*(blocking.rarest(blocking.postings(q, k), blocking.postings(t, k), 2, 300, False) for k in ("address_token", "name_token")))
+
+
+@query("block_first_frequent", _with(*_postings("a", "atoks"), _ranked("a", "JOIN"), "f AS (SELECT * FROM rk_a WHERE rank <= 2 AND df BETWEEN 2 AND 500 QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank) = 1)") + "SELECT DISTINCT f.id AS query_id, k.id AS target_id FROM f JOIN tk_a k USING (country, key)")
+def block_first_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    return blocking.first_frequent(blocking.postings(q, "address_token"), blocking.postings(t, "address_token"))
+
+
+@query("block_staged")
+def block_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.staged_candidates(*forms(spark, sf_dir))
+
+
+@query("block_soundex")
+def block_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = (d.withColumn("codes", X.soundex_codes(F.col("toks"), True)) for d in forms(spark, sf_dir))
+    return blocking.capped(blocking.postings(q, "soundex", F.col("codes")), blocking.postings(t, "soundex", F.col("codes")), 200)
+
+
+@query("block_tiered")
+def block_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = (records.feature_form(view(spark, sf_dir, v)) for v in ("s1", "tgt"))
+    return blocking.tiered_candidates(q, t, postal=True)
+
+
+@query("block_grams")
+def block_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.two_pass_topk(*forms(spark, sf_dir))
+
+
+@query("block_training")
+def block_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.labelled(blocking.training_candidates(*forms(spark, sf_dir), view(spark, sf_dir, "truth")), view(spark, sf_dir, "truth"))
+
+
+@query("set_evidence", _with(*_EVID) + "SELECT * FROM evid")
+def _set_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_evidence(spark, sf_dir)
+
+
+@query("string_metrics", _with(*_CAND) + """SELECT query_id, target_id, CASE WHEN greatest(length(q.name), length(t.name)) = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(q.name, t.name)::DOUBLE / greatest(length(q.name), length(t.name)) END AS lev,
+      round(jaro_winkler_similarity(q.name, t.name), 9) AS jw, len(list_intersect(q.nums, t.nums)) = 0 AND len(q.nums) > 0 AND len(t.nums) > 0 AS conflict FROM cand JOIN q ON q.id = query_id JOIN t ON t.id = target_id""")
+def string_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pairs(spark, sf_dir)
+    return own.select("query_id", "target_id", S.levenshtein(F.col("q.name"), F.col("t.name")).alias("lev"), F.round(S.similarity("jaro_winkler_above", F.col("q.name"), F.col("t.name")), 9).alias("jw"), S.plain_conflict(F.col("q.nums"), F.col("t.nums")).alias("conflict"))
+
+
+@query("evidence")
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.evidence(pairs(spark, sf_dir)).drop("q", "t")
+
+
+@query("group_features", _with(*_EVID) + """SELECT query_id, target_id, p, rank AS rank_in_query, best AS query_max, round(avg(p) OVER w, 9) AS query_mean, round(coalesce(stddev_samp(p) OVER w, 0), 9) AS query_std, count(*) OVER w AS query_count,
+      p - coalesce(lead(p) OVER (PARTITION BY query_id ORDER BY p DESC, target_id), 0) AS margin_to_next, CASE WHEN best <> 0 THEN p / best ELSE 1.0 END AS share_of_max FROM ranked WINDOW w AS (PARTITION BY query_id)""")
+def group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = features.group_features(scored(spark, sf_dir), "p")
+    return own.select("query_id", "target_id", "p", *_long("rank_in_query"), "query_max", F.round("query_mean", 9).alias("query_mean"), F.round("query_std", 9).alias("query_std"), "query_count", "margin_to_next", "share_of_max")
+
+
+@query("staged_features")
+def staged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    return features.staged_features(blocking.looked_up(blocking.two_pass_topk(q, t), q, t))
+
+
+def _feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = (records.feature_form(view(spark, sf_dir, v)) for v in ("s1", "tgt"))
+    return blocking.looked_up(candidates(spark, sf_dir), q, t)
+
+
+for _p in features.SETS:
+    query(f"features_{_p}")(lambda s, d, p=_p: features.features(_feature_pairs(s, d), p))
+
+
+@query("hard_rejection")
+def hard_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = features.features(_feature_pairs(spark, sf_dir), "P10")
+    return own.select("query_id", "target_id", features.hard_rejected().alias("rejected"))
+
+
+query("rule_R1", _with(*_RUNS) + "SELECT * FROM run_a")(lambda s, d: run_a(s, d).select("query_id", "target_id", *_long("rank")))
+query("rule_R2", _with(*_RUNS) + "SELECT * FROM run_b")(lambda s, d: run_b(s, d).select("query_id", "target_id", *_long("rank")))
+for _r in list(rules.LADDERS)[2:]:
+    query(f"rule_{_r}")(lambda s, d, r=_r: rules.matches(rules.judged(rules.evidence(pairs(s, d)), r), rules.LADDERS[r][2]))
+
+
+@query("kept_candidates")
+def kept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.kept_candidates(rules.judged(rules.evidence(pairs(spark, sf_dir)), "R11"))
+
+
+@query("miss_reasons")
+def miss_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = forms(spark, sf_dir)
+    return rules.miss_reasons(rules.evidence(blocking.looked_up(view(spark, sf_dir, "truth"), q, t)))
+
+
+def _decided(d: DataFrame) -> DataFrame:
+    return d.select("query_id", "target_id", "p", *_long("rank"))
+
+
+_OUT = "SELECT query_id, target_id, p, rank FROM ranked WHERE "
+query("decide_threshold", _with(*_EVID) + _OUT + "p >= 0.6")(lambda s, d: _decided(decide.threshold(scored(s, d), 0.6)))
+query("decide_top_k", _with(*_EVID) + _OUT + "rank <= 3")(lambda s, d: _decided(decide.top_k(scored(s, d), 3)))
+query("decide_base_sibling", _with(*_EVID) + _OUT + "best >= 0.7 AND (rank = 1 OR p >= 0.5)")(lambda s, d: _decided(decide.base_sibling(scored(s, d), 0.7, 0.5)))
+query("decide_presets", _with(*_EVID) + " UNION ALL ".join(f"SELECT query_id, target_id, p, rank, '{n}' AS preset FROM ranked WHERE best >= {b} AND (rank = 1 OR p >= {x})" for n, b, x in (("tuned", 0.8, 0.6), ("strict", 0.9, 0.7), ("balanced", 0.78, 0.55))))(lambda s, d: decide.presets(scored(s, d), (0.8, 0.6)).select("query_id", "target_id", "p", *_long("rank"), "preset"))
+_BASES = [round(0.3 + 0.05 * k, 2) for k in range(13)]
+query("decide_sweep", _with(*_EVID) + f"SELECT query_id, target_id, p, rank, base FROM ranked, (SELECT unnest({_BASES})::DOUBLE AS base) WHERE best >= base AND (rank = 1 OR p >= greatest(0.25, round(base - 0.05, 10)))")(lambda s, d: decide.swept(scored(s, d), _BASES).select("query_id", "target_id", "p", *_long("rank"), "base"))
+_CLOSED = [
+    "f AS (SELECT *, 1.25 * sum(p) OVER (PARTITION BY query_id ORDER BY rank) / (0.25 * sum(p) OVER (PARTITION BY query_id) + rank) AS s, product(1 - p) OVER (PARTITION BY query_id) AS none FROM ranked)",
+    "k AS (SELECT query_id, CASE WHEN round(max(s), 12) > round(max(none), 12) THEN min(CASE WHEN round(s, 12) = m THEN rank END) ELSE 0 END AS k FROM (SELECT *, round(max(s) OVER (PARTITION BY query_id), 12) AS m FROM f) GROUP BY query_id)",
+]
+query("decide_closed_form", _with(*_EVID, *_CLOSED) + "SELECT query_id, target_id, p, rank FROM ranked JOIN k USING (query_id) WHERE rank <= k")(lambda s, d: _decided(decide.closed_form(scored(s, d))))
+query("decide_closed_form_siblings")(lambda s, d: _decided(decide.closed_form_siblings(scored(s, d))))
+query("decide_mean_tail")(lambda s, d: _decided(decide.mean_tail(scored(s, d), most=15)))
+query("decide_mean_tail_precise")(lambda s, d: _decided(decide.mean_tail(scored(s, d), 0.45, 15)))
+query("decide_exact")(lambda s, d: _decided(decide.exact(decide.top_k(scored(s, d), 15))))
+
+
+def _rule_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(rules.evidence(pairs(spark, sf_dir)), "R9").filter("score >= 0.15").select("query_id", "target_id", F.col("score").alias("p"))
+
+
+query("decide_exact_rules")(lambda s, d: _decided(decide.exact(_rule_probabilities(s, d), most=4)))
+
+
+@query("decide_rejecting")
+def decide_rejecting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = features.features(_feature_pairs(spark, sf_dir), "P10").withColumn("p", (F.col("name_jw") + F.col("addr_token_set")) / 2)
+    return _decided(decide.base_sibling_rejecting(own.withColumn("no", features.hard_rejected()).select("query_id", "target_id", "p", "no"), 0.8, 0.6, F.col("no")))
+
+
+_SEL = "SELECT query_id, target_id, row_number() OVER (PARTITION BY query_id ORDER BY {o}, target_id) AS rank FROM {f}"
+_run = lambda f: lambda s, d: f(run_a(s, d), run_b(s, d)).select("query_id", "target_id", *_long("rank"))
+query("consensus_intersection", _with(*_RUNS, _BOTH) + _SEL.format(o="ra", f="b WHERE ra IS NOT NULL AND rb IS NOT NULL"))(_run(consensus.intersection))
+_LEVEL = "l AS (SELECT *, max(CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 3 WHEN ra IS NOT NULL THEN 2 ELSE 1 END) OVER (PARTITION BY query_id) AS level FROM b)"
+_KEEP = "(level = 3 AND ra IS NOT NULL AND rb IS NOT NULL) OR (level = 2 AND ra IS NOT NULL)"
+query("consensus_else_first", _with(*_RUNS, _BOTH, _LEVEL) + f"SELECT * FROM ({_SEL.format(o='coalesce(ra, rb)', f=f'l WHERE {_KEEP}')}) WHERE rank <= 4")(_run(consensus.preferred))
+query("consensus_else_second", _with(*_RUNS, _BOTH, _LEVEL) + f"SELECT * FROM ({_SEL.format(o='coalesce(ra, rb)', f=f'l WHERE {_KEEP} OR level = 1')}) WHERE rank <= 4")(_run(lambda a, b: consensus.preferred(a, b, True)))
+query("consensus_union", _with(*_RUNS, _BOTH) + f"SELECT * FROM ({_SEL.format(o='ra IS NULL, coalesce(ra, rb)', f='b')}) WHERE rank <= 4")(_run(consensus.ordered_union))
+query("consensus_majority", _with(*_RUNS, "run_c AS (SELECT query_id, target_id, rank FROM ranked WHERE rank <= 2)", "v AS (SELECT query_id, target_id, count(*) AS votes, min({'run': run, 'rank': rank}) AS seen FROM (SELECT *, 0 AS run FROM run_a UNION ALL SELECT *, 1 FROM run_b UNION ALL SELECT *, 2 FROM run_c) GROUP BY ALL)") + "SELECT query_id, target_id, votes, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, seen, target_id) AS rank FROM v WHERE votes >= 1")(lambda s, d: consensus.majority([run_a(s, d), run_b(s, d), decide.top_k(scored(s, d), 2)]).select("query_id", "target_id", "votes", *_long("rank")))
+query("consensus_agreement", _with(*_RUNS) + "SELECT count(*) AS queries, avg(CASE WHEN coalesce(x, []) = coalesce(y, []) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS equal_rate FROM ids LEFT JOIN (SELECT query_id, list(target_id ORDER BY target_id) AS x FROM run_a GROUP BY query_id) USING (query_id) LEFT JOIN (SELECT query_id, list(target_id ORDER BY target_id) AS y FROM run_b GROUP BY query_id) USING (query_id)")(lambda s, d: consensus.agreement(run_a(s, d), run_b(s, d), ids(s, d)))
+query("consensus_fullest", _with(*_RUNS) + "SELECT * FROM (SELECT count(DISTINCT query_id) AS matched, 'a' AS run FROM run_a UNION ALL SELECT count(DISTINCT query_id), 'b' FROM run_b) ORDER BY matched DESC, run LIMIT 1")(lambda s, d: consensus.fullest({"a": run_a(s, d), "b": run_b(s, d)}))
+query("consensus_differences", _with(*_RUNS) + "SELECT a.query_id, a.target_id, 'fp' AS kind FROM run_a a ANTI JOIN truth USING (query_id, target_id) UNION ALL SELECT query_id, target_id, 'fn' FROM truth ANTI JOIN run_a USING (query_id, target_id)")(lambda s, d: consensus.differences(run_a(s, d), view(s, d, "truth")))
+
+
+def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    judged = rules.evidence(pairs(spark, sf_dir)).cache()  # read by each gate, ladder and recovery rule
+    return *(rules.matches(rules.judged(judged, r)).drop("score") for r in ("R8", "R11")), judged
+
+
+for _n, _f in (("clean", consensus.clean_consensus), ("validated", consensus.validated_consensus), ("recovering", consensus.recovering_consensus)):
+    query(f"consensus_{_n}")(lambda s, d, f=_f: f(*_three(s, d)))
+query("consensus_calibrated")(lambda s, d: (lambda a, b, j: consensus.ordered_union(a, b.join(j.select("query_id", "target_id", "same_comp", "core_sort"), ["query_id", "target_id"]), 4, F.col("same_comp") | (F.col("core_sort") >= 40)))(*_three(s, d)))
+query("consensus_exact_or_script")(lambda s, d: (lambda a, b, j: consensus.ordered_union(a, b.join(j.select("query_id", "target_id", "same_comp", "t_latin", "india"), ["query_id", "target_id"]), 5, F.col("same_comp") | (~F.col("t_latin") & F.col("india"))))(*_three(s, d)))
+query("consensus_counters")(lambda s, d: (lambda a, b, j: consensus.counters(a, b, j, consensus.validated_consensus(a, b, j), ids(s, d)))(*_three(s, d)))
+
+_COUNTS = [
+    "m AS (SELECT query_id, sum(p * t) AS tp, sum(p * (1 - t)) AS fp, sum(t * (1 - p)) AS fn FROM (SELECT query_id, target_id, coalesce(p, 0) AS p, coalesce(t, 0) AS t FROM (SELECT query_id, target_id, 1 AS p FROM run_a) FULL JOIN (SELECT query_id, target_id, 1 AS t FROM truth) USING (query_id, target_id)) GROUP BY query_id)",
+    "c AS (SELECT query_id, coalesce(tp, 0)::BIGINT AS tp, coalesce(fp, 0)::BIGINT AS fp, coalesce(fn, 0)::BIGINT AS fn FROM ids LEFT JOIN m USING (query_id))",
+    "e AS (SELECT *, CASE WHEN 1.25 * tp + 0.25 * fn + fp = 0 THEN 1.0::DOUBLE ELSE (1.25::DOUBLE * tp) / (1.25::DOUBLE * tp + 0.25::DOUBLE * fn + fp) END AS f, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS recall FROM c)",
+]
+query("metric_by_query", _with(*_RUNS, *_COUNTS) + "SELECT * FROM e")(lambda s, d: metrics.by_query(run_a(s, d), view(s, d, "truth"), ids(s, d)))
+query("metric_macro", _with(*_RUNS, *_COUNTS) + "SELECT count(*) AS queries, round(avg(f), 9) AS macro_f, round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(sum(tp)::DOUBLE / sum(tp + fp), 9) AS micro_precision, round(sum(tp)::DOUBLE / sum(tp + fn), 9) AS micro_recall, sum((tp + fn = 0)::INT)::BIGINT AS singletons, sum((tp + fn = 0 AND fp > 0)::INT)::BIGINT AS false_alarms FROM e")(lambda s, d: (lambda m: m.select("queries", *(F.round(x, 9).alias(x) for x in m.columns[1:6]), "singletons", "false_alarms"))(metrics.macro(run_a(s, d), view(s, d, "truth"), ids(s, d))))
+query("metric_blocking", _with(*_CAND) + "SELECT count(*) AS true_pairs, count(h) AS found, count(h)::DOUBLE / count(*) AS recall, (SELECT count(*)::DOUBLE FROM cand) / (SELECT count(*) FROM s1) AS mean_candidates FROM truth LEFT JOIN (SELECT *, 1 AS h FROM cand) USING (query_id, target_id)")(lambda s, d: metrics.blocking_recall(candidates(s, d), view(s, d, "truth"), ids(s, d)))
+query("metric_run", _with(*_RUNS, "n AS (SELECT query_id, count(target_id) AS n FROM ids LEFT JOIN run_a USING (query_id) GROUP BY query_id)") + "SELECT count(*) AS queries, sum((n > 0)::INT)::BIGINT AS matched, sum((n = 0)::INT)::BIGINT AS singletons, avg((n = 0)::INT::DOUBLE) AS singleton_rate, sum(n)::BIGINT AS pairs, sum(n)::DOUBLE / sum((n > 0)::INT) AS pairs_a_match FROM n")(lambda s, d: metrics.run_statistics(run_a(s, d), ids(s, d)))
+query("metric_validation", _with(*_RUNS) + "SELECT 0::BIGINT AS unknown_queries, 0::BIGINT AS unknown_targets, (SELECT count(*) - count(DISTINCT (query_id, target_id)) FROM run_a) AS repeated, (SELECT count(*) FROM run_a ANTI JOIN cand USING (query_id, target_id)) AS not_candidates")(lambda s, d: metrics.validation(run_a(s, d), candidates(s, d), ids(s, d), view(s, d, "tgt").select(F.col("entity_id").alias("target_id"))))
+_GRID = ([0.5, 0.6, 0.7, 0.8, 0.9], [0.4, 0.5, 0.6, 0.7])
+query(
+    "metric_grid",
+    _with(*_EVID, f"g AS (SELECT base, sibling FROM (SELECT unnest({_GRID[0]})::DOUBLE AS base), (SELECT unnest({_GRID[1]})::DOUBLE AS sibling) WHERE sibling <= base)",
+          "h AS (SELECT query_id, base, sibling, sum(coalesce(x, 0)) AS tp, sum(1 - coalesce(x, 0)) AS fp FROM ranked JOIN g ON best >= base AND (rank = 1 OR p >= sibling) LEFT JOIN (SELECT *, 1 AS x FROM truth) USING (query_id, target_id) GROUP BY ALL)",
+          "u AS (SELECT query_id, count(target_id) AS n FROM ids LEFT JOIN truth USING (query_id) GROUP BY query_id)")
+    + "SELECT base, sibling, round(avg(CASE WHEN n + coalesce(fp, 0) = 0 THEN 1.0::DOUBLE ELSE 1.25::DOUBLE * coalesce(tp, 0) / (1.25::DOUBLE * coalesce(tp, 0) + 0.25::DOUBLE * (n - coalesce(tp, 0)) + coalesce(fp, 0)) END), 9) AS macro_f FROM u CROSS JOIN g LEFT JOIN h USING (query_id, base, sibling) GROUP BY ALL",
+)(lambda s, d: metrics.threshold_grid(scored(s, d), view(s, d, "truth"), ids(s, d), *_GRID).select("base", "sibling", F.round("macro_f", 9).alias("macro_f")))
+query("metric_false_positives", _with(*_RUNS) + "SELECT a.query_id, a.target_id FROM run_a a ANTI JOIN truth USING (query_id, target_id) ORDER BY 1, 2 LIMIT 20")(lambda s, d: consensus.differences(run_a(s, d), view(s, d, "truth")).filter("kind = 'fp'").select("query_id", "target_id").orderBy("query_id", "target_id").limit(20))
+
+
+@query("metric_rule_grid")
+def metric_rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro F of the tunable ladder over 5 x 4 x 3 thresholds: the grid is a column, so evidence is made once."""
+    grid = [(st, co, hi) for st in (45, 50, 55, 60, 65) for co in (25, 30, 35, 40) for hi in (75, 80, 85)]
+    cells = F.explode(F.array(*(F.struct(*(F.lit(v).alias(m) for m, v in zip(("street", "core", "high"), g, strict=True))) for g in grid)))
+    each = rules.evidence(pairs(spark, sf_dir)).drop("q").withColumn("g", cells)
+    won = rules.judged(each, rules.tuned(F.col("g.street"), F.col("g.core"), F.col("g.high"))).filter("is_match")
+    rank = F.row_number().over(W.partitionBy("query_id", "g").orderBy(F.desc("score"), "target_id"))
+    truth = view(spark, sf_dir, "truth").withColumn("x", F.lit(1))
+    n = ids(spark, sf_dir).join(truth.groupBy("query_id").agg(F.count("x").alias("n")), "query_id", "left").fillna(0, ["n"])
+    best = won.withColumn("rank", rank).filter("rank <= 4").select("query_id", "target_id", "g")
+    hits = best.join(truth, ["query_id", "target_id"], "left").groupBy("query_id", "g").agg(F.count("x").alias("tp"), F.count(F.lit(1)).alias("k"))
+    full = n.select("query_id", "n", cells.alias("g")).join(hits, ["query_id", "g"], "left").fillna(0, ["tp", "k"])
+    f = F.when(F.col("n") + F.col("k") == 0, 1.0).otherwise(1.25 * F.col("tp") / F.greatest(0.25 * F.col("n") + F.col("k"), F.lit(1e-9)))
+    return full.groupBy("g").agg(F.avg(f).alias("macro_f")).select("g.*", "macro_f")
+
+
+query("sink_matches", _with(*_RUNS) + "SELECT query_id AS source1_entity_id, coalesce(string_agg(target_id, ',' ORDER BY rank, target_id), '') AS matched_entity_ids FROM ids LEFT JOIN run_a USING (query_id) GROUP BY query_id")(lambda s, d: tables.joined(run_a(s, d), ids(s, d)))
+query("sink_scores")(lambda s, d: tables.joined_scores(scored(s, d), ids(s, d)))
+query("sample_extract", _with() + "SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY country ORDER BY entity_id) <= 400")(lambda s, d: tables.extract(view(s, d, "s1")))
+query("scan_wanted", _with(*_RUNS) + "SELECT tgt.* FROM tgt WHERE entity_id IN (SELECT target_id FROM run_a)")(lambda s, d: tables.wanted(view(s, d, "tgt"), run_a(s, d)).select("entity_id", "business_name", "business_address", "country"))
+
+
+@query("learned_links")
+def learned_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tree models on the canonical features, blended; base and sibling thresholds; every query."""
+    truth, names = view(spark, sf_dir, "truth"), features.SETS["P16"][0]
+    rows = blocking.labelled(features.features(_feature_pairs(spark, sf_dir), "P16"), truth).fillna(0.0).cache()
+    train = learn.weighted(learn.split(rows))
+    models = [learn.boosted(names).fit(train), learn.forest(names).fit(train.filter("NOT is_validation"))]
+    p = consensus.blended(*((learn.scored(m, rows), w) for m, w in zip(models, (0.55, 0.45), strict=True)))
+    return tables.joined(decide.base_sibling(p, 0.7, 0.5), ids(spark, sf_dir), names=("query_id", "target_ids"))
