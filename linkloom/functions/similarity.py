@@ -8,6 +8,7 @@ also empty ones, are 1. The profiles give different numbers, so the profile is a
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -112,19 +113,26 @@ _KINDS = {
 }
 
 
+#: Pairs of texts whose similarity a task remembers.
+REMEMBERED = 200_000
+
+
 def similarity(kind: str, a: Column, b: Column) -> Column:
-    """One of the metrics above over Arrow batches; equal pairs of a batch are computed once."""
+    """One of the metrics above over Arrow batches; a task computes equal pairs once, as long as it remembers them."""
     f = _KINDS[kind]
 
     @F.pandas_udf(T.DoubleType())
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known: dict[tuple[str, str], float] = {}
-        out = []
-        for p in zip(x, y, strict=True):
-            if p not in known:
-                known[p] = f(*p)
-            out.append(known[p])
-        return pd.Series(out, dtype="float64")
+        for x, y in batches:
+            if len(known) > REMEMBERED:
+                known.clear()
+            out = []
+            for p in zip(x, y, strict=True):
+                if p not in known:
+                    known[p] = f(*p)
+                out.append(known[p])
+            yield pd.Series(out, dtype="float64")
 
     return run(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 

@@ -44,7 +44,7 @@ def names(spark: SparkSession, path: str) -> DataFrame:
 def lists(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """(query_id, ids): a comma-separated list a query; an empty one is an empty array."""
     raw = _read(spark, path, T.StructType([T.StructField("query_id", T.StringType()), T.StructField("ids", T.StringType())]), header)
-    return raw.select(F.trim("query_id").alias("query_id"), F.filter(F.transform(F.split("ids", ","), F.trim), lambda x: x != "").alias("ids"))
+    return raw.select(F.trim("query_id").alias("query_id"), F.filter(F.transform(F.split("ids", ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"))
 
 
 def pairs(listed: DataFrame) -> DataFrame:
