@@ -228,9 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
 
     # At most ``sample`` rows of three numbers: a proven bound.
     texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "junk", "toxic")
-    got = sorted(texts.mapInArrow(run, f"doc_id {kind}, junk int, toxic int, features array<int>").collect(), key=lambda r: (r.doc_id, r.features))
-    target = np.array([1 - (1 - junk[r.junk]) * (1 - toxic[r.toxic]) for r in got])
-    return Scorer.trained([np.array(r.features) for r in got], target, words)
+    # Columns of numbers, not rows of Python objects: the driver holds a few bytes a feature.
+    got = texts.mapInArrow(run, f"doc_id {kind}, junk int, toxic int, features array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    target = np.array([1 - (1 - junk[j]) * (1 - toxic[x]) for j, x in zip(got["junk"].to_pylist(), got["toxic"].to_pylist(), strict=True)])
+    each = pa.compute.list_value_length(got["features"]).to_numpy()
+    flat = pa.compute.list_flatten(got["features"]).to_numpy()
+    return Scorer.trained(np.split(flat, np.cumsum(each)[:-1]) if len(each) else [], target, words)
 
 
 def scored(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
