@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.llm.common import documents, text_bytes, written
-from linkloom.llm.linecrf import BLANK, LETTERS, SYMBOLS, UPPER, _without
+from linkloom.llm.linecrf import BLANK, LETTERS, SYMBOLS, UPPER, _without, repeated_words
 
 #: Documents that the scorer is trained on, and labelled documents that the lexicon is drawn from, by hash.
 SAMPLE, LEXICON_SAMPLE = 12_000, 12_000
 HASH_BITS = 18
 ABSTAIN, GOOD, BAD = 0, 1, 2
-JUNK = ("symbols", "upper", "beside", "pipes", "variety", "prose", "label")
+JUNK = ("symbols", "upper", "beside", "pipes", "repeats", "variety", "prose", "label")
 TOXIC = ("insults", "lexicon", "label")
 #: Kept: a probability of being bad below this.
 THRESHOLD = 0.5
@@ -39,7 +39,7 @@ STEM = 4
 FOLD = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 #: Starting values that keep the hashes of words, stems and names apart.
 OF_WORD, OF_STEM, OF_NAME = 0, 0x5E3D, 0x7A11
-STEPS = {"symbols": (0.02, 0.1, 0.3, 0.6), "upper": (0.1, 0.2, 0.35, 0.5), "bangs": (0.05, 0.3), "beside": (0.02, 0.1, 0.3), "pipes": (0.02, 0.2), "variety": (0.2, 0.4, 0.6), "letters": (0.5, 0.7)}
+STEPS = {"symbols": (0.02, 0.1, 0.3, 0.6), "upper": (0.1, 0.2, 0.35, 0.5), "bangs": (0.05, 0.3), "beside": (0.02, 0.1, 0.3), "pipes": (0.02, 0.2), "repeats": (0.1, 0.3, 0.5), "variety": (0.2, 0.4, 0.6), "letters": (0.5, 0.7)}
 
 
 def style(text: bytes) -> dict[str, float]:
@@ -55,6 +55,7 @@ def style(text: bytes) -> dict[str, float]:
         "bangs": text.count(b"!") / n,
         "beside": sum(map(operator.eq, words, words[1:])) / n,
         "pipes": text.count(b"|") / n,
+        "repeats": repeated_words(words) / n,
         "variety": len(set(words)) / n,
         "letters": letters / size,
     }
@@ -63,9 +64,9 @@ def style(text: bytes) -> dict[str, float]:
 def junk_votes(s: dict[str, float]) -> list[int]:
     """The heuristic labellers' votes on junk, in the order of JUNK without the label."""
     if not s["n"]:
-        return [ABSTAIN] * 6
-    bad = [s["symbols"] > 0.3, s["upper"] > 0.5, s["beside"] > 0.2, s["pipes"] > 0.2, 20 <= s["n"] < 2000 and s["variety"] < 0.25]
-    prose = s["symbols"] < 0.05 and s["upper"] < 0.2 and s["beside"] < 0.05 and s["bangs"] < 0.1
+        return [ABSTAIN] * 7
+    bad = [s["symbols"] > 0.3, s["upper"] > 0.5, s["beside"] > 0.2, s["pipes"] > 0.2, s["n"] >= 20 and s["repeats"] > 0.5, 20 <= s["n"] < 2000 and s["variety"] < 0.25]
+    prose = s["symbols"] < 0.05 and s["upper"] < 0.2 and s["beside"] < 0.05 and s["bangs"] < 0.1 and s["repeats"] <= 0.5
     # Each kind of junk trips one labeller or two: the others then have nothing to say, only the last vouches.
     return [BAD if x else ABSTAIN for x in bad] + [GOOD if prose else ABSTAIN]
 
@@ -200,7 +201,7 @@ def votes(docs: DataFrame, labels: DataFrame, words: Lexicon) -> DataFrame:
     said = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("tox"))
     label = lambda c, bad: F.when(F.col(c).isNull(), ABSTAIN).when(F.col(c) == bad, BAD).otherwise(GOOD)
     both = own.join(said, "doc_id", "left")
-    return both.select("doc_id", (F.col("junk") + 3**6 * label("quality", 0)).alias("junk"), (F.col("toxic") + 9 * label("tox", 1)).alias("toxic"))
+    return both.select("doc_id", (F.col("junk") + 3**7 * label("quality", 0)).alias("junk"), (F.col("toxic") + 9 * label("tox", 1)).alias("toxic"))
 
 
 def posteriors(cast: DataFrame, fact: str, labellers: int) -> dict[int, float]:
