@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import documents, text_bytes, written
@@ -30,6 +30,13 @@ BLOCKS = {5: ((0, 21), (21, 21), (42, 22)), 7: ((0, 16), (16, 16), (32, 16), (48
 #: Bits in which two fingerprints of 64 bits each may differ in all, where a second one confirms the first:
 #: the angle of 20 of 128 bits is that of two shingle sets with a Jaccard similarity of 0.8.
 CONFIRMED_BITS = 20
+#: Jaccard similarity of near copies, as a fraction.
+LEAST = (4, 5)
+#: Pairs whose two fingerprints differ in more of the 128 bits are dropped uncounted: at a similarity of 0.8
+#: the mean is 19 to 24, and this lies over five standard deviations above it.
+FAR_BITS = 48
+#: Texts in the sample that says which shingles are common, in how many one must be, and how many are held.
+SAMPLE, COMMON_FROM, MOST_COMMON = 4000, 8, 100_000
 #: Bits of a block under the Hamming code; the rest are free.
 CODED = 15
 #: An anchor with more homes than this is compared in several tasks.
@@ -277,18 +284,143 @@ def op6_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
-def near_copies_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 7) -> DataFrame:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct XXH64s of the text's word shingles, sorted; words and short texts as in fingerprints()."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: len(words) - shingle].tolist()]
+    stops = (ends[shingle - 1 :] - 1).tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)], np.uint64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits from each hash."""
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(m)
+    return h ^ (h >> np.uint64(33))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed long."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65536):
+        total += np.unpackbits(h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0])
+
+
+def _node(h: np.ndarray) -> int:
+    """A signed long for a set of shingles."""
+    return int(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def _common_shingles(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """Shingles that are frequent in a sample of the texts, sorted; no result depends on which they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t, shingle).view(np.int64))], names=["key"])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(text_bytes(text_col).alias("text"))
+    often = some.mapInArrow(run, "key bigint").groupBy("key").count().filter(F.col("count") >= COMMON_FROM)
+    rows = often.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int, common: np.ndarray) -> DataFrame:
+    """(id, own, node, n, fp, second, prefix): hash of the text, its set of n shingles, two fingerprints, rarest shingles.
+
+    Shingles are ordered by hash, the ``common`` ones last. Two sets with a similarity of LEAST or more
+    share one of the first n - ceil(LEAST * n) + 1 of both, in whatever order all sets are put.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(2).to_pylist():
+                h = shingle_hashes(t, shingle)
+                n = len(h)
+                late = np.isin(h, common, assume_unique=True)
+                rare = np.concatenate([h[~late], h[late]])[: n + LEAST[0] * n // -LEAST[1] + 1]
+                out.append((_node(h), n, _majority(h), _majority(_mixed(h)), rare.view(np.int64)))
+            node, n, fp, second, prefix = zip(*out, strict=True) if out else ((),) * 5
+            cols = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(second, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=[id_col, "own", "node", "n", "fp", "second", "prefix"])
+
+    own = docs.select(F.col(id_col), F.xxhash64(text_col).alias("own"), text_bytes(text_col).alias("text"))
+    return own.mapInArrow(run, f"`{id_col}` {kind}, own bigint, node bigint, n int, fp bigint, second bigint, prefix array<bigint>")
+
+
+def _long_enough(a: str, b: str) -> Column:
+    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of LEAST or more, by counting."""
+    side = lambda x, d: d.select(*(F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in d.columns))
+    known = nodes.select("node", "n", "fp", "second")
+    both = pairs.join(side("a", known), "a").join(side("b", known), "b")
+    bits = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) + F.bit_count(F.col("a_second").bitwiseXOR(F.col("b_second")))
+    close = written(both.filter(_long_enough("a_n", "b_n") & (bits <= FAR_BITS)).select("a", "b"), "close")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = fps.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("own").alias("own")).select("own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                h = shingle_hashes(t, shingle)
+                yield pa.RecordBatch.from_arrays([pa.array([_node(h)], pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["node", "set"])
+
+    found = docs.withColumn("__own", F.xxhash64(text_col)).join(texts.withColumnRenamed("own", "__own"), "__own", "left_semi")
+    sets = written(found.select(text_bytes(text_col).alias("text")).mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
+    met = close.join(side("a", sets), "a").join(side("b", sets), "b")
+    met = met.select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("same"), (F.size("a_set") + F.size("b_set")).alias("all"))
+    return written(met.filter(F.col("same") * LEAST[1] >= (F.col("all") - F.col("same")) * LEAST[0]).select("a", "b"), "similar")
+
+
+def similar_edges(docs: DataFrame, fps: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Links (a, b) between ``nodes``: enough of them to join all whose similarity is LEAST or more.
+
+    Nodes that share a shingle of their prefixes are candidates. First each is held against one node a
+    shingle, drawn by hash, which joins most of a group at a linear cost; then all candidates that are not
+    joined yet are held against each other, so that nothing is missed.
+    """
+    posts = fps.select("node", "n", F.explode("prefix").alias("key"))
+    shared = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    posts = written(posts.join(shared, "key", "left_semi").distinct(), "posts")
+    lead = posts.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("lead"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    stars = posts.join(lead, "key").filter((F.col("node") != F.col("lead.node")) & _long_enough("n", "lead.n"))
+    stars = written(stars.select(*pair("node", "lead.node")).distinct(), "stars")
+    first = _similar(stars, docs, fps, nodes, text_col, shingle)
+    roots = components(first)
+    tagged = written(posts.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "tagged")
+    # Of two nodes on different roots one at least is outside the shingle's largest root.
+    sizes = tagged.groupBy("key", "root").count().groupBy("key")
+    largest = sizes.agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "most")
+    minor = tagged.join(largest, "key").filter("root <> most").select("key", F.col("node").alias("m"), F.col("n").alias("mn"), F.col("root").alias("mr"))
+    rest = minor.join(tagged, "key").filter((F.col("root") != F.col("mr")) & _long_enough("n", "mn"))
+    rest = rest.select(*pair("node", "m")).distinct().join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(_similar(rest, docs, fps, nodes, text_col, shingle))
+
+
+def near_copies_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; all columns stay as they are.
 
-    Two texts are near copies if one of two independent fingerprints of their ``shingle``-word shingles
-    differs in at most ``threshold`` bits and both together say a similarity of 0.8 or more. Rows with
-    equal ids stay or go together; rows with a null id stay.
+    Two texts are near copies if the sets of their ``shingle``-word shingles have a Jaccard similarity of
+    LEAST or more. Rows with equal ids stay or go together; rows with a null id stay.
     """
-    first = with_fingerprint(docs, id_col, text_col, shingle, (SEED, SEED + 1))
-    fps = written(first, "fp")
-    nodes = fps.groupBy("fp", "second").agg(F.min(id_col).alias("least")).select(F.xxhash64("fp", "second").alias("node"), "fp", "second", "least")
-    swapped = nodes.select("node", F.col("second").alias("fp"), F.col("fp").alias("second"))
-    edges = near_edges(nodes, threshold).unionByName(near_edges(swapped, threshold))
-    found = joined(fps, nodes, edges, id_col, ["fp", "second"])
+    common = _common_shingles(docs, text_col, shingle)
+    fps = written(_sketched(docs, id_col, text_col, shingle, common), "fp")
+    nodes = written(fps.groupBy("node", "n", "fp", "second").agg(F.min(id_col).alias("least")), "nodes")
+    edges = similar_edges(docs, fps, nodes, text_col, shingle)
+    found = joined(fps.select(id_col, "node"), nodes, edges, id_col, ["node"])
     gone = found.filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -47,3 +47,42 @@ def test_stages(spark, sf_dir):
             assert {r.doc_id for r in rows} <= {r.doc_id for r in before.collect()}
     assert len(seen) == 5 and corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def _shingles(text):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def _first_of_near(texts):
+    """The ids that stay of (id, text): the least of each component of five-word-shingle similarity >= 0.8."""
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            same = len(sets[i] & sets[j])
+            if 5 * same >= 4 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in ids if find(i) == i}
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Pairs with similarities from 0.79 to 0.87, on both sides of 0.8, and a passage that all share."""
+    passage = [f"common{k}" for k in range(12)]
+    texts, n = {}, 0
+    for pair in range(120):
+        words = [f"w{pair}x{k}" for k in range(92)] + passage
+        changed = [f"y{pair}x{k}" for k in range(7 + pair % 6)]  # as many of 100 shingles differ
+        texts[n], texts[n + 1] = " ".join(words), " ".join(changed + words[len(changed) :])
+        n += 2
+    d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id for r in simhash.near_copies_dropped(d).collect()}
+    assert got == _first_of_near(texts) and 120 < len(got) < 240
