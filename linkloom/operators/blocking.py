@@ -1,6 +1,7 @@
 """Candidate generation: equi-joins on derived keys within a country, capped by document frequency.
 
-Keys whose frequency is above a cap are dropped before the join, so no join has a hot key. What the rare
+Keys whose frequency is above a cap are dropped before the join, so no join has a hot key; character grams
+have no cap, the hot ones are dealt to several tasks. What the rare
 queries without any candidate fall back on is a bounded number of targets. Ties go by key and id.
 """
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: A gram that more texts of a block's targets have is joined in several tasks.
+TARGETS_PER_TASK = 5000
 
 
 def _keys() -> dict[str, Column]:
@@ -157,13 +160,13 @@ def tiered_candidates(q: DataFrame, t: DataFrame, rare: tuple[int, float] = (40,
     return hits.filter(F.col("strong") | (F.col("weak") >= 2) | ~F.col("any")).select("query_id", "target_id")
 
 
-def gram_similarity(q: DataFrame, t: DataFrame, block: Column, text: Column, sizes=(3, 4, 5), cap: int = 5000) -> DataFrame:
+def gram_similarity(q: DataFrame, t: DataFrame, block: Column, text: Column, sizes=(3, 4, 5)) -> DataFrame:
     """(query_id, target_id, score): cosine of character n-gram counts of words, within a block.
 
-    An inverted join of gram weights, each row's counts scaled to length 1. Grams that more than ``cap``
-    targets of a block have are left out on both sides before the join.
+    An inverted join of gram weights, each text's counts scaled to length 1. No gram is left out. Equal
+    texts of a block are scored once; a gram that many texts of the targets have is dealt to several tasks.
+    Products are added up as whole numbers, so scores and their ties don't depend on the order of rows.
     """
-    words = F.filter(F.split(text, " "), lambda w: w != "")
 
     def of_size(n: int):
         def cut(w: Column) -> Column:
@@ -172,18 +175,28 @@ def gram_similarity(q: DataFrame, t: DataFrame, block: Column, text: Column, siz
 
         return cut
 
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    all_ = F.concat(*(F.flatten(F.transform(padded, of_size(n))) for n in sizes))
+    def grams(x: Column) -> Column:
+        words = F.filter(F.split(x, " "), lambda w: w != "")
+        padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+        return F.concat(*(F.flatten(F.transform(padded, of_size(n))) for n in sizes))
 
     def weights(d: DataFrame) -> DataFrame:
-        tf = d.select("id", block.alias("country"), F.explode(all_).alias("key")).groupBy("id", "country", "key").agg(F.count(F.lit(1)).alias("tf"))
+        once = d.groupBy(block.alias("country"), text.alias("text")).agg(F.min("id").alias("id"))
+        tf = once.select("id", "country", F.explode(grams(F.col("text"))).alias("key")).groupBy("id", "country", "key").agg(F.count(F.lit(1)).alias("tf"))
         norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy("id")))
-        return tf.select("id", "country", "key", (F.col("tf") / norm).alias("w"))
+        return tf.select("id", "country", "key", "tf", norm.alias("norm"))
+
+    def alike(d: DataFrame, name: str) -> DataFrame:
+        return d.select(F.min("id").over(W.partitionBy(block, text)).alias(f"{name}_text"), F.col("id").alias(f"{name}_id"))
 
     tw = weights(t)
-    tw = tw.join(frequencies(tw).filter(F.col("df") <= cap).select("country", "key"), ["country", "key"], "left_semi")
-    both = weights(q).toDF("query_id", "country", "key", "qw").join(tw.toDF("country", "key", "target_id", "tw"), ["country", "key"])
-    return both.groupBy("query_id", "target_id").agg(F.sum(F.col("qw") * F.col("tw")).alias("score"))
+    hot = frequencies(tw).filter(F.col("df") > TARGETS_PER_TASK).select("country", "key", F.ceil(F.col("df") / TARGETS_PER_TASK).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    tw = tw.join(hot, ["country", "key"], "left").select("country", "key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("target_text"), F.col("tf").alias("ttf"), F.col("norm").alias("tnorm"))
+    qw = weights(q).join(hot, ["country", "key"], "left").select("country", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("query_text"), F.col("tf").alias("qtf"), F.col("norm").alias("qnorm"))
+    both = qw.join(tw, ["country", "key", "part"]).groupBy("query_text", "target_text", "qnorm", "tnorm").agg(F.sum(F.col("qtf") * F.col("ttf")).alias("dot"))
+    both = both.select("query_text", "target_text", (F.col("dot") / (F.col("qnorm") * F.col("tnorm"))).alias("score"))
+    return both.join(alike(q, "query"), "query_text").join(alike(t, "target"), "target_text").select("query_id", "target_id", "score")
 
 
 def two_pass_topk(q: DataFrame, t: DataFrame, k: int = 15, wide: int = 45, bonus: float = 0.5) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -185,6 +186,25 @@ def test_blocking_smoke(spark):
     assert [round(r.margin_to_next, 2) for r in g] == [0.55, 0.4]
 
 
+def test_grams_that_many_targets_share(spark):
+    """A block of 5,200 targets whose names share a word: the cosine is that of counting, as in a small block."""
+    names = {f"T{k}": f"acme {'tools' if k % 2600 == 0 else 'x' * (k % 7 + 1) + str(k)}" for k in range(5200)}
+    d = spark.createDataFrame(list(names.items()), "id string, name string")
+    q = spark.createDataFrame([("S1", "acme tool")], "id string, name string")
+    got = {r.target_id: r.score for r in blocking.gram_similarity(q, d, F.lit("US"), F.col("name")).collect()}
+
+    def counts(text):
+        padded = [f" {w} " for w in text.split()]
+        return Counter(w[i : i + n] for n in (3, 4, 5) for w in padded for i in range(len(w) - n + 1))
+
+    own = counts("acme tool")
+    size = lambda c: math.sqrt(sum(v * v for v in c.values()))
+    assert set(got) == set(names)
+    for k in ("T0", "T2600", "T1", "T5199"):
+        other = counts(names[k])
+        assert got[k] == pytest.approx(sum(v * other[g] for g, v in own.items()) / size(own) / size(other))
+
+
 def test_tables_and_stream(spark, tmp_path):
     (tmp_path / "r.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1\tA "quoted" Co\t1 Road\tUS\nS2\tNA\n')
     got = {r.entity_id: r for r in tables.records(spark, str(tmp_path / "r.tsv"), unknown="Unknown").collect()}
