@@ -86,3 +86,23 @@ def test_near_copies_at_the_threshold(spark):
     d = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     got = {r.doc_id for r in simhash.near_copies_dropped(d).collect()}
     assert got == _first_of_near(texts) and 120 < len(got) < 240
+
+
+def test_dedup_stages_by_brute_force(spark, sf_dir):
+    """The ids that stay in the exact and the near stage are those of plain Python; near copies are planted besides."""
+    rows = [(r.doc_id, r.text) for r in common.documents(spark, sf_dir).select("doc_id", "text").collect()]
+    top = max(i for i, _ in rows) + 1
+    long = [t.split() for _, t in rows if 100 <= len(t.split()) <= 400][:40]
+    for k, words in enumerate(long):
+        changed = [f"new{k}x{j}" for j in range(len(words) * (6 + k % 8) // 100)]
+        rows.append((top + k, " ".join(changed + words[len(changed) :])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    exact = corpus_pipeline.exact(spark, docs, sf_dir)
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(" ".join(t.split()), (i, t))
+    left = dict(first.values())
+    assert {r.doc_id for r in exact.collect()} == set(left)
+    want = _first_of_near(left)
+    assert {r.doc_id for r in corpus_pipeline.near(spark, common.written(exact, "test"), sf_dir).collect()} == want
+    assert len(want) < len(left)
