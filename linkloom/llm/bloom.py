@@ -5,9 +5,9 @@ filter about every hash. A text that was seen once has, but for false positives,
 and passes straight through: only possibly repeated rows shuffle. False positives cost a shuffled row,
 never a wrong result, since those rows are grouped by their full digest.
 
-The filter has BITS_PER_ROW bits a row. It is cut into slices by hash, of at most SLICE_BITS each, made
-and asked one after the other, so that what the driver gathers and broadcasts stays within 32 MiB however
-many rows there are.
+The filter has BITS_PER_ROW bits a row. It is cut into slices by hash, of at most SLICE_BITS each, made,
+asked and dropped one after the other, so that what the driver gathers and broadcasts at a time stays within
+32 MiB however many rows there are.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from linkloom.llm.common import SPACE, documents, written
+from linkloom.llm.common import SPACE, documents, fresh, small, written
 
 BITS_PER_ROW = 16
 PROBES = 3
@@ -87,30 +88,43 @@ def twice_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 
 
 def possibly_repeated(rows: DataFrame) -> DataFrame:
-    """``rows`` (with a long column h) and a boolean column maybe: true wherever h occurs twice or more."""
+    """``rows`` (with a long column h) and a boolean column maybe: true wherever h occurs twice or more.
+
+    Of several slices each is a folder of a written table; its filter is made, asked and dropped before the
+    next one's, so one filter is alive at a time and each row is read twice, however many slices there are.
+    """
     spark = rows.sparkSession
     bits = max(SEGMENT_BITS, (max(1, rows.count()) * BITS_PER_ROW - 1).bit_length())
     slices = 1 << max(0, bits - SLICE_BITS)
     bits = min(bits, SLICE_BITS)
     names, schema = rows.columns, T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType(), False)])
+    if slices == 1:
+        return _asked(rows, names, schema, spark.sparkContext.broadcast(twice_filter(rows, bits)), bits)
+    cut = written(rows.withColumn("slice", F.pmod(F.col("h"), F.lit(slices)).cast("int")), "slices", by=("slice",))
     out = None
     for k in range(slices):
-        part = rows.filter(F.pmod(F.col("h"), F.lit(slices)) == k) if slices > 1 else rows
+        part = cut.filter(F.col("slice") == k).select(*names)
         twice = spark.sparkContext.broadcast(twice_filter(part, bits))
-
-        def ask(batches: Iterator[pa.RecordBatch], twice=twice) -> Iterator[pa.RecordBatch]:
-            bitmap = twice.value
-            for b in batches:
-                maybe = np.ones(b.num_rows, bool)
-                for p in probes(b.column(names.index("h")).to_numpy(), bits):
-                    maybe &= (bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe)], names=[*names, "maybe"])
-
-        asked = part.mapInArrow(ask, schema)
+        asked = written(_asked(part, names, schema, twice, bits), "asked")
+        twice.destroy()
         out = asked if out is None else out.unionByName(asked)
     return out
 
 
+def _asked(rows: DataFrame, names: list[str], schema: T.StructType, twice: Broadcast, bits: int) -> DataFrame:
+    """``rows`` with the filter's answer for each."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = twice.value
+        for b in batches:
+            maybe = np.ones(b.num_rows, bool)
+            for p in probes(b.column(names.index("h")).to_numpy(), bits):
+                maybe &= (bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe)], names=[*names, "maybe"])
+
+    return rows.mapInArrow(ask, schema)
+
+
 def normalised(text_col: str = "text") -> Column:
     """The text with each run of white space as one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+", " ")
@@ -127,7 +141,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = possibly_repeated(digests.withColumn("h", F.xxhash64("text_sha256"))).drop("h")
     alone = marked.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = marked.filter("maybe").drop("maybe")
-    groups = some.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = small(written(some.groupBy("text_sha256").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups"))
     # Rows that share digest and id are numbered; a group of copies has an id a row, so no window is large.
     numbered = some.withColumn("n", F.row_number().over(W.partitionBy("text_sha256", "id").orderBy(F.lit(0))))
     repeated = numbered.join(groups, "text_sha256").select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n") == 1)).alias("kept"), "text_sha256")
@@ -135,22 +149,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_copies_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that exact_groups() doesn't keep; all columns stay as they are."""
-    found = written(exact_groups(docs, id_col, text_col).select(id_col, "text_sha256", "kept"), "kept")
-    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    # An id whose rows partly stay (the same row twice, say) can't be dropped by its id and digest alone.
-    partly = gone.join(found.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")), ["__id", "__sha"], "left_semi").distinct()
-    gone = gone.select("__id", "__sha").distinct()
-    digest = F.sha2(normalised(text_col).cast("binary"), 256)
-    if partly.isEmpty():
-        whole = gone.select("__id").distinct()
-        both = whole.join(found.filter("kept").select(F.col(id_col).alias("__id")), "__id", "left_semi")
-        if both.isEmpty():
-            return docs.join(whole, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
-    keyed = docs.withColumn("__own", digest)
-    match = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    stay = keyed.join(gone, match, "left_anti").select(*docs.columns)
-    one = keyed.join(partly, match, "left_semi").dropDuplicates([id_col, "__own"]).select(*docs.columns)
+    """``docs`` without the rows that exact_groups() doesn't keep; all columns stay as they are, whatever their names.
+
+    Null and empty texts are equal, null ids come last, of the same row twice one stays; an empty table gives
+    an empty result. The few rows that go are looked up; texts move only where those are too many to broadcast.
+    """
+    found = written(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept"), "kept")
+    key, own = fresh(docs, "id_that_goes"), fresh(docs, "own_sha")
+    sha = fresh(docs, "sha_that_goes")
+    goes = found.filter(~F.col("kept")).select(F.col("id").alias(key), F.col("sha").alias(sha)).distinct()
+    stays = found.filter("kept").select(F.col("id").alias(key), F.col("sha").alias(sha))
+    # An id that stays with another text or with a second row of the same can't be dropped by itself.
+    mixed_ids = goes.join(stays, goes[key].eqNullSafe(stays[key]), "left_semi")
+    if mixed_ids.isEmpty():
+        gone = small(written(goes.select(key).distinct(), "gone"))
+        return docs.join(gone, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+    keyed = docs.withColumn(own, F.sha2(normalised(text_col).cast("binary"), 256))
+    match = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha))
+    partly = goes.join(stays, goes[key].eqNullSafe(stays[key]) & (goes[sha] == stays[sha]), "left_semi")
+    stay = keyed.join(goes, match, "left_anti").select(*docs.columns)
+    one = keyed.join(partly, match, "left_semi").dropDuplicates([id_col, own]).select(*docs.columns)
     return stay.unionByName(one)
 
 

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import documents, text_bytes, written
+from linkloom.llm.bloom import possibly_repeated
+from linkloom.llm.common import deleted, documents, small, text_bytes, written
 
 SEED = 42
 #: First bit and width of each block, by the largest threshold for which one block has at most one differing bit.
@@ -240,17 +241,20 @@ def near_edges(nodes: DataFrame, threshold: int = 4) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) can reach; roots are left out.
 
-    Large-star and small-star steps in turn; the edges of each round are a written table. The driver
-    sees one count and one sum a round, never a link.
+    Large-star and small-star steps in turn; the edges of each round are a written table, deleted after the
+    next one. The driver sees one count and one sum a round, never a link.
     """
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    spark, old, before = edges.sparkSession, [], None
+    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", old)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = written(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        small_star = large.groupBy("a").agg(F.min("b").alias("m"))
+        now_open: list[str] = []
+        edges = written(large.join(small_star, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(small_star.select("a", F.col("m").alias("b"))).distinct(), "edges", now_open)
+        deleted(spark, old)
+        old = now_open
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if now == before and now[0] == now[2]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -259,11 +263,16 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def joined(fps: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, on: list[str]) -> DataFrame:
-    """``fps`` with component_id: the least id of all rows whose nodes are connected."""
+    """``fps`` with component_id: the least id of all rows whose nodes are connected.
+
+    Only nodes with links meet by root, after pre-aggregation; each component is one row of what is looked up.
+    """
     roots = components(edges)
-    rooted = written(nodes.join(roots, "node", "left").select(*on, "least", F.coalesce("root", "node").alias("root"), (F.col("root").isNotNull()).alias("linked")), "roots")
-    own = rooted.join(rooted.filter("linked").select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(own, "root", "left").select(*on, F.coalesce("component_id", "least").alias("component_id"))
+    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = written(nodes.select("node", "least").join(every, "node"), "linked")
+    own = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "own")
+    found = linked.join(small(own), "root").select("node", "component_id")
+    of = nodes.join(found, "node", "left").select(*on, F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(of, on)
 
 
@@ -358,69 +367,82 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int, common:
     return own.mapInArrow(run, f"`{id_col}` {kind}, own bigint, node bigint, n int, fp bigint, second bigint, prefix array<bigint>")
 
 
-def _long_enough(a: str, b: str) -> Column:
-    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of LEAST or more, by counting."""
-    side = lambda x, d: d.select(*(F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in d.columns))
-    known = nodes.select("node", "n", "fp", "second")
-    both = pairs.join(side("a", known), "a").join(side("b", known), "b")
-    bits = F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) + F.bit_count(F.col("a_second").bitwiseXOR(F.col("b_second")))
-    close = written(both.filter(_long_enough("a_n", "b_n") & (bits <= FAR_BITS)).select("a", "b"), "close")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = fps.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("own").alias("own")).select("own")
+def _similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """The ``pairs`` (a, b, a written table) of nodes whose shingle sets are similar enough, by counting."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(fps.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("own").alias("__own")).select("__own"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).to_pylist():
-                h = shingle_hashes(t, shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([_node(h)], pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["node", "set"])
+            sets = [shingle_hashes(t, shingle) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "set"])
 
-    found = docs.withColumn("__own", F.xxhash64(text_col)).join(texts.withColumnRenamed("own", "__own"), "__own", "left_semi")
-    sets = written(found.select(text_bytes(text_col).alias("text")).mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
-    met = close.join(side("a", sets), "a").join(side("b", sets), "b")
+    found = docs.select(F.xxhash64(text_col).alias("__own"), text_bytes(text_col).alias("__text")).join(small(texts), "__own", "left_semi")
+    sets = written(found.select("__text").mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
     met = met.select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("same"), (F.size("a_set") + F.size("b_set")).alias("all"))
     return written(met.filter(F.col("same") * LEAST[1] >= (F.col("all") - F.col("same")) * LEAST[0]).select("a", "b"), "similar")
 
 
+def _can_meet(a: str, b: str) -> Column:
+    """Whether two sets that share a shingle, at places ``a.pos`` and ``b.pos`` of their orders, can be similar enough.
+
+    Let it be the first one that they share: then no more than the rest of either is shared. Jaccard j of
+    sizes m and n asks for j / (1 + j) * (m + n) shared shingles, and for lengths within j of each other. The two
+    fingerprints may differ in FAR_BITS.
+    """
+    of = lambda x, c: F.col(f"{x}.{c}")
+    rest = F.least(of(a, "n") - of(a, "pos"), of(b, "n") - of(b, "pos"))
+    bits = F.bit_count(of(a, "fp").bitwiseXOR(of(b, "fp"))) + F.bit_count(of(a, "second").bitwiseXOR(of(b, "second")))
+    lengths = F.least(of(a, "n"), of(b, "n")) * LEAST[1] >= F.greatest(of(a, "n"), of(b, "n")) * LEAST[0]
+    return lengths & (rest * sum(LEAST) >= (of(a, "n") + of(b, "n")) * LEAST[0]) & (bits <= FAR_BITS)
+
+
 def similar_edges(docs: DataFrame, fps: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """Links (a, b) between ``nodes``: enough of them to join all whose similarity is LEAST or more.
 
-    Nodes that share a shingle of their prefixes are candidates. First each is held against one node a
-    shingle, drawn by hash, which joins most of a group at a linear cost; then all candidates that are not
-    joined yet are held against each other, so that nothing is missed.
+    Nodes that share a shingle of their prefixes, at places that leave enough to share, are candidates.
+    First each is held against one node a shingle, the one that has it earliest: that one has the fewest
+    rare shingles, so it lies in the middle of its group, and the links to it join most of the group at a linear
+    cost. Then all candidates that are not joined yet are held against each other, so that nothing is missed.
     """
-    posts = fps.select("node", "n", F.explode("prefix").alias("key"))
+    # Most shingles are in one text only: the exact stage's filter leaves those out before anything is shuffled.
+    every = fps.select("node", "n", "fp", "second", F.posexplode("prefix").alias("pos", "h"))
+    posts = possibly_repeated(every).filter("maybe").drop("maybe").withColumnRenamed("h", "key")
     shared = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    posts = written(posts.join(shared, "key", "left_semi").distinct(), "posts")
-    lead = posts.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "key")).alias("lead"))
+    posts = posts.join(shared, "key", "left_semi").distinct()
+    posts = written(posts.select("key", F.struct("node", "n", "pos", "fp", "second").alias("x")), "posts")
+    lead = posts.groupBy(F.col("key").alias("lkey")).agg(F.min_by("x", F.struct("x.pos", F.xxhash64("x.node"))).alias("y"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = posts.join(lead, "key").filter((F.col("node") != F.col("lead.node")) & _long_enough("n", "lead.n"))
-    stars = written(stars.select(*pair("node", "lead.node")).distinct(), "stars")
-    first = _similar(stars, docs, fps, nodes, text_col, shingle)
-    roots = components(first)
-    tagged = written(posts.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "tagged")
+    stars = posts.join(lead, (F.col("key") == F.col("lkey")) & (F.col("x.node") != F.col("y.node")) & _can_meet("x", "y"))
+    stars = written(stars.select(*pair("x.node", "y.node")).distinct(), "stars")
+    first = _similar(stars, docs, fps, text_col, shingle)
+    roots = components(first).select(F.col("node").alias("of"), "root")
+    tagged = posts.join(roots, F.col("x.node") == F.col("of"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root"))
+    tagged = written(tagged, "tagged")
     # Of two nodes on different roots one at least is outside the shingle's largest root.
     sizes = tagged.groupBy("key", "root").count().groupBy("key")
     largest = sizes.agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "most")
-    minor = tagged.join(largest, "key").filter("root <> most").select("key", F.col("node").alias("m"), F.col("n").alias("mn"), F.col("root").alias("mr"))
-    rest = minor.join(tagged, "key").filter((F.col("root") != F.col("mr")) & _long_enough("n", "mn"))
-    rest = rest.select(*pair("node", "m")).distinct().join(stars, ["a", "b"], "left_anti")
-    return first.unionByName(_similar(rest, docs, fps, nodes, text_col, shingle))
+    minor = tagged.join(largest, "key").filter("root <> most").select(F.col("key").alias("mkey"), F.col("x").alias("y"), F.col("root").alias("mroot"))
+    # Both may be outside it: then the pair is met twice, and once is enough.
+    rest = tagged.join(minor, (F.col("key") == F.col("mkey")) & (F.col("root") != F.col("mroot")) & _can_meet("x", "y"))
+    rest = written(rest.select(*pair("x.node", "y.node")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    return first.unionByName(_similar(rest, docs, fps, text_col, shingle))
 
 
 def near_copies_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; all columns stay as they are.
 
     Two texts are near copies if the sets of their ``shingle``-word shingles have a Jaccard similarity of
-    LEAST or more. Rows with equal ids stay or go together; rows with a null id stay.
+    LEAST or more. Rows with equal ids stay or go together; rows with a null id stay. Null texts and texts without
+    words are near copies of each other; a text shorter than a shingle is one shingle. An empty table gives an
+    empty result; other columns are passed through, whatever their names.
     """
     common = _common_shingles(docs, text_col, shingle)
     fps = written(_sketched(docs, id_col, text_col, shingle, common), "fp")
     nodes = written(fps.groupBy("node", "n", "fp", "second").agg(F.min(id_col).alias("least")), "nodes")
     edges = similar_edges(docs, fps, nodes, text_col, shingle)
-    found = joined(fps.select(id_col, "node"), nodes, edges, id_col, ["node"])
-    gone = found.filter(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    found = joined(fps.select(F.col(id_col).alias("id"), "node"), nodes, edges, "id", ["node"])
+    gone = written(found.filter(F.col("id") > F.col("component_id")).select("id").distinct(), "gone")
+    return docs.join(small(gone), docs[id_col] == gone["id"], "left_anti")
