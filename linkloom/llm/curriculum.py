@@ -5,8 +5,8 @@ W(t) is the part of the source's tokens that are due by t. A document that lies
 token demand is trained at the t with W(t) = u W(1), that is t = (a + b) u / (a + sqrt(a^2 + (b^2 - a^2) u)).
 The mixture is range-sorted by t.
 
-Running sums need no large window: documents go to 4,096 bins of their source by the MD5 of their id, the
-bins' sums are added up (4,096 rows a source at most), and a window adds up within a bin.
+Running sums need no large window: documents go to bins of their source by the MD5 of their id, as many as
+keep a bin at some 65,536 rows (4,096 at least); the bins' sums are added up, and a window adds up within a bin.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from linkloom.llm.common import documents, written
+from linkloom.llm.common import documents, small, written
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -23,8 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 #: No document is taken more often.
 MOST_REPEATS = 3
-#: Hexadecimal digits of the hash that name a bin.
-BIN_DIGITS = 3
+#: Least number of hexadecimal digits of the hash that name a bin, and rows a bin that ask for one more.
+BIN_DIGITS, BIN_ROWS = 3, 65_536
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -36,66 +36,80 @@ def _of(values: tuple[float, ...], rank: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(__key, __source_size, __target, a, b) for each source of ``sizes`` (__key, __source_size).
+    """(key, source_size, target, a, b) for each source of ``sizes`` (key, source_size).
 
     The weights share the sum of all sizes; what is above MOST_REPEATS times a source's size goes to the
     others by weight, until none is above: target = min(level * weight, limit), with one level for all.
     Ordered by limit / weight, the level is that of the first source that stays below its limit.
     """
-    ranked = sizes.withColumn("__rank", F.row_number().over(W.orderBy("__key")) - 1)
-    ranked = ranked.select("*", _of(WEIGHTS, F.col("__rank")).alias("__w"), _of([s[0] for s in SCHEDULES], F.col("__rank")).alias("a"), _of([s[1] for s in SCHEDULES], F.col("__rank")).alias("b"))
-    ranked = ranked.withColumn("__limit", F.col("__source_size") * float(MOST_REPEATS)).withColumn("__ratio", F.col("__limit") / F.col("__w"))
-    order = W.orderBy("__ratio", "__key")
+    ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy("key")) - 1)
+    ranked = ranked.select("*", _of(WEIGHTS, F.col("rank")).alias("w"), _of([s[0] for s in SCHEDULES], F.col("rank")).alias("a"), _of([s[1] for s in SCHEDULES], F.col("rank")).alias("b"))
+    ranked = ranked.withColumn("limit", F.col("source_size") * float(MOST_REPEATS)).withColumn("ratio", F.col("limit") / F.col("w"))
+    order = W.orderBy("ratio", "key")
     whole = W.partitionBy()
-    level = (F.sum("__source_size").over(whole) - F.coalesce(F.sum("__limit").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("__w").over(order.rowsBetween(0, W.unboundedFollowing))
-    ranked = ranked.withColumn("__level", level)
-    first = F.min(F.when(F.col("__level") <= F.col("__ratio"), F.struct("__ratio", "__key", "__level"))).over(whole)["__level"]
-    return ranked.withColumn("__target", F.least(first * F.col("__w"), F.col("__limit"))).select("__key", "__source_size", "__target", "a", "b")
+    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing))
+    ranked = ranked.withColumn("level", level)
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "key", "level"))).over(whole)["level"]
+    return ranked.withColumn("target", F.least(first * F.col("w"), F.col("limit"))).select("key", "source_size", "target", "a", "b")
 
 
-def mixed(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with __size, __source_size, __target, __copies and __position (of the first copy; null if none).
+def placed(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (id, source, size[, row]) with source_size, target, copies, position (of the first copy; null if none).
 
     A source is gone through in hash order as often as its target holds it whole, then up to the document
     whose middle passes the target. Rows with equal ids lie side by side. Null sources are one source, the
-    last; a null id sorts first in its bin; empty tables give empty results.
+    last; a null id sorts first in its bin; empty tables give empty results. before, a and b go along.
     """
-    key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("d"), F.col(source_col)))
-    hashed = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit(""))
-    keyed = docs.select("*", size.alias("__size"), key.alias("__key"), hashed.alias("__h"), F.substring(hashed, 1, BIN_DIGITS).alias("__bin"))
-    bins = written(keyed.groupBy("__key", "__bin").agg(F.sum("__size").alias("__bin_size")), "bins")
-    sources = source_targets(bins.groupBy("__key").agg(F.sum("__bin_size").alias("__source_size")))
-    upto = W.partitionBy("__key").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.withColumn("__offset", F.coalesce(F.sum("__bin_size").over(upto), F.lit(0))).drop("__bin_size").join(sources, "__key")
-    within = W.partitionBy("__key", "__bin").orderBy("__h", id_col, "__size").rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("__offset") + F.coalesce(F.sum("__size").over(within), F.lit(0))
-    placed = keyed.join(bins, ["__key", "__bin"]).withColumn("__before", before)
-    whole = F.when(F.col("__source_size") > 0, F.least(F.floor(F.col("__target") / F.col("__source_size")), F.lit(MOST_REPEATS))).otherwise(F.lit(1))
-    placed = placed.withColumn("__whole", whole)
-    more = (F.col("__before") + F.col("__size") / 2.0) < F.col("__target") - F.col("__whole") * F.col("__source_size")
-    placed = placed.withColumn("__copies", (F.col("__whole") + F.when(more & (F.col("__whole") < MOST_REPEATS), 1).otherwise(0)).cast("int"))
-    at = F.when(F.col("__copies") > 0, _position(F.lit(0)))
-    return placed.withColumn("__position", at)
+    digits = BIN_DIGITS
+    n = sizes.count()
+    while n > BIN_ROWS << (4 * digits):
+        digits += 1
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("d"), F.col("source")))
+    hashed = F.coalesce(F.md5(F.col("id").cast("string").cast("binary")), F.lit(""))
+    keyed = sizes.select("*", key.alias("key"), hashed.alias("h"), F.substring(hashed, 1, digits).alias("bin"))
+    bins = written(keyed.groupBy("key", "bin").agg(F.sum("size").alias("bin_size")), "bins")
+    sources = source_targets(bins.groupBy("key").agg(F.sum("bin_size").alias("source_size")))
+    upto = W.partitionBy("key").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.withColumn("offset", F.coalesce(F.sum("bin_size").over(upto), F.lit(0))).drop("bin_size").join(sources, "key")
+    within = W.partitionBy("key", "bin").orderBy("h", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    own = keyed.join(bins, ["key", "bin"]).withColumn("before", before)
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_REPEATS))).otherwise(F.lit(1))
+    own = own.withColumn("whole", whole)
+    more = (F.col("before") + F.col("size") / 2.0) < F.col("target") - F.col("whole") * F.col("source_size")
+    own = own.withColumn("copies", (F.col("whole") + F.when(more & (F.col("whole") < MOST_REPEATS), 1).otherwise(0)).cast("int"))
+    own = own.withColumn("position", F.when(F.col("copies") > 0, _position(F.lit(0))))
+    return own.select(*sizes.columns, "source_size", "target", "copies", "position", "before", "a", "b")
 
 
 def _position(copy: Column) -> Column:
     """Training time of a copy: the inverse of its source's cumulative demand."""
-    u = F.when(F.col("__target") > 0, F.least((copy * F.col("__source_size") + F.col("__before") + F.col("__size") / 2.0) / F.col("__target"), F.lit(1.0))).otherwise(F.lit(0.0))
+    u = F.when(F.col("target") > 0, F.least((copy * F.col("source_size") + F.col("before") + F.col("size") / 2.0) / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
     a, b = F.col("a"), F.col("b")
     return (a + b) * u / (a + F.sqrt(a * a + (b * b - a * a) * u))
 
 
 def mixture(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mixture itself: each document as often as it is taken, in training order, with docs' columns."""
-    own = mixed(docs, size, id_col, source_col)
-    copies = own.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    return copies.withColumn("__position", _position(F.col("__copy"))).orderBy("__position", id_col, "__copy").select(*docs.columns)
+    """The mixture itself: each document as often as it is taken, in training order, with docs' columns.
+
+    Ids, sources and sizes are placed first, and the rows looked up; where ids repeat or are null, whole rows are placed.
+    Both give the same. Nulls as in placed(); columns may have any names; an empty table gives an empty result.
+    """
+    own = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")]
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    sizes = written(docs.select(*own), "sizes")
+    if sizes.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
+        taken = written(placed(sizes).filter("copies > 0"), "taken")
+        found = docs.select(F.col(id_col).alias("row_id"), row).join(small(taken), F.col("row_id") == F.col("id"))
+    else:
+        found = placed(docs.select(*own, row)).filter("copies > 0")
+    copies = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return copies.select("row", "id", "copy", _position(F.col("copy")).alias("at")).orderBy("at", "id", "copy").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = written(documents(spark, sf_dir).select("doc_id", "source", word_count().alias("words")), "sizes")
-    own = mixed(sizes, F.col("words"))
-    return own.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("bigint").alias("taken"), F.col("__copies").alias("copies"), F.col("__position").alias("position")).orderBy("position", "doc_id")
+    own = placed(written(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", word_count().alias("size")), "sizes"))
+    return own.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "copies", "position").orderBy("position", "doc_id")
 
 
 OP9_SQL = r"""
