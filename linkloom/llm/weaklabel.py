@@ -4,6 +4,9 @@ Heuristic labellers vote good, bad or nothing on every document, for two hidden
 and whether it is toxic. Expectation-maximisation over the counts of the vote patterns, of which there are
 few, whatever the number of documents, estimates how often each labeller is right. The posteriors label a
 bounded sample, on which a sparse linear scorer over hashed features is trained; it scores every text.
+
+Given labels have no vote. Two of the labellers look for words, two for stems, that mark toxic documents of one
+half each of a bounded labelled sample: without labels these abstain.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from linkloom.llm.linecrf import BLANK, LETTERS, SYMBOLS, UPPER, _without, repea
 SAMPLE, LEXICON_SAMPLE = 12_000, 12_000
 HASH_BITS = 18
 ABSTAIN, GOOD, BAD = 0, 1, 2
-JUNK = ("symbols", "upper", "beside", "pipes", "repeats", "variety", "prose", "label")
-TOXIC = ("insults", "lexicon", "label")
+JUNK = ("symbols", "upper", "bangs", "beside", "pipes", "repeats", "variety", "letters", "prose")
+TOXIC = ("insults", "words of half 0", "words of half 1", "stems of half 0", "stems of half 1")
+#: Words in a window over which the variety of words is taken, so that it doesn't fall with a text's length.
+WINDOW = 500
 #: Kept: a probability of being bad below this.
 THRESHOLD = 0.5
 INSULTS = frozenset(b"idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns".split())
@@ -56,16 +61,16 @@ def style(text: bytes) -> dict[str, float]:
         "beside": sum(map(operator.eq, words, words[1:])) / n,
         "pipes": text.count(b"|") / n,
         "repeats": repeated_words(words) / n,
-        "variety": len(set(words)) / n,
+        "variety": sum(len(set(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)) / n,
         "letters": letters / size,
     }
 
 
 def junk_votes(s: dict[str, float]) -> list[int]:
-    """The heuristic labellers' votes on junk, in the order of JUNK without the label."""
+    """The heuristic labellers' votes on junk, in the order of JUNK."""
     if not s["n"]:
-        return [ABSTAIN] * 7
-    bad = [s["symbols"] > 0.3, s["upper"] > 0.5, s["beside"] > 0.2, s["pipes"] > 0.2, s["n"] >= 20 and s["repeats"] > 0.5, 20 <= s["n"] < 2000 and s["variety"] < 0.25]
+        return [ABSTAIN] * len(JUNK)
+    bad = [s["symbols"] > 0.3, s["upper"] > 0.5, s["bangs"] > 0.3, s["beside"] > 0.2, s["pipes"] > 0.2, s["n"] >= 20 and s["repeats"] > 0.5, s["n"] >= 20 and s["variety"] < 0.25, s["letters"] < 0.6]
     prose = s["symbols"] < 0.05 and s["upper"] < 0.2 and s["beside"] < 0.05 and s["bangs"] < 0.1 and s["repeats"] <= 0.5
     # Each kind of junk trips one labeller or two: the others then have nothing to say, only the last vouches.
     return [BAD if x else ABSTAIN for x in bad] + [GOOD if prose else ABSTAIN]
@@ -80,13 +85,18 @@ def stems(words: set[bytes]) -> set[bytes]:
 
 
 class Lexicon(NamedTuple):
-    """Words and stems of toxic texts."""
+    """Words and stems of toxic texts: those of each half of the labelled sample."""
 
-    words: frozenset[bytes] = frozenset()
-    stems: frozenset[bytes] = frozenset()
+    words: tuple[frozenset[bytes], frozenset[bytes]] = (frozenset(), frozenset())
+    stems: tuple[frozenset[bytes], frozenset[bytes]] = (frozenset(), frozenset())
 
     def hits(self, words: set[bytes], stems: set[bytes]) -> int:
-        return len(self.words & words) + len(self.stems & stems)
+        return len((self.words[0] | self.words[1]) & words) + len((self.stems[0] | self.stems[1]) & stems)
+
+    def votes(self, words: set[bytes], stems: set[bytes]) -> list[int]:
+        """In the order of TOXIC. An empty list has nothing to say."""
+        listed = [(own, words) for own in self.words] + [(own, stems) for own in self.stems]
+        return [ABSTAIN if INSULTS.isdisjoint(words) else BAD] + [ABSTAIN if not own else GOOD if own.isdisjoint(has) else BAD for own, has in listed]
 
 
 def hashed(text: bytes, lexicon: Lexicon) -> np.ndarray:
@@ -103,18 +113,17 @@ def hashed(text: bytes, lexicon: Lexicon) -> np.ndarray:
     return np.unique(np.concatenate([[1], 2 + np.array(every, np.int64) % ((1 << HASH_BITS) - 2)]).astype(np.int64))
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, trusted: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of bad for each pattern, votes' probabilities [labeller, class, vote], prior).
 
-    Labellers are taken to err independently, given the class. ``trusted`` is the labeller whose votes
-    start as nearly always right; all get pseudo-counts in favour of being right.
+    Labellers are taken to err independently, given the class; all get pseudo-counts in favour of being
+    right, with which the first round begins.
     """
     n, m = patterns.shape
     total = max(1.0, float(counts.sum()))
     pseudo = np.zeros((m, 2, 3))
     pseudo[:, 0] = (0.02, 0.06, 0.02)
     pseudo[:, 1] = (0.02, 0.02, 0.06)
-    pseudo[trusted, 0, GOOD] = pseudo[trusted, 1, BAD] = 0.5
     theta = pseudo / pseudo.sum(axis=2, keepdims=True)
     prior = 0.1
     post = np.zeros(n)
@@ -165,24 +174,33 @@ class Scorer:
 
 
 def lexicon(docs: DataFrame, labels: DataFrame, sample: int = LEXICON_SAMPLE) -> Lexicon:
-    """Words and stems that toxic documents of a bounded labelled sample have and clean ones lack."""
-    ids = labels.filter("toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    """Words and stems that toxic documents of a bounded labelled sample have and clean ones lack, for each half of it.
+
+    A document with several labels is toxic if one says so. Rows of one id are that document, repeated.
+    """
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = written(some.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("half")), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [words_of(t) for t in b.column(0).to_pylist()]
             names = [[*(b"w" + x for x in w), *(b"s" + x for x in stems(w))] for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([x for r in names for x in r], pa.binary()), pa.array([t for r, t in zip(names, b.column(1).to_pylist(), strict=True) for _ in r], pa.int32())], names=["name", "toxic"])
+            both = [pa.array([x for r, x in zip(names, b.column(k).to_pylist(), strict=True) for _ in r], pa.int32()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for r in names for x in r], pa.binary()), *both], names=["name", "toxic", "half"])
 
-    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int"))
-    seen = texts.mapInArrow(run, "name binary, toxic int").groupBy("name").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
-    # An entry is in 2 % of the toxic documents or more: at most fifty times a document's words.
-    least = max(5, ids.filter("toxic = 1").count() // 50)
-    found = [bytes(r.name) for r in seen.filter((F.col("bad") >= least) & (F.col("bad") >= 0.95 * F.col("n"))).collect()]
-    return Lexicon(frozenset(x[1:] for x in found if x[:1] == b"w"), frozenset(x[1:] for x in found if x[:1] == b"s"))
+    # At most ``sample`` rows of three numbers: a proven bound.
+    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic", "half")
+    seen = texts.mapInArrow(run, "name binary, toxic int, half int").groupBy("name", "half").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    # An entry is in 2 % of the toxic documents of its half or more: at most fifty times a document's words.
+    sizes = {r.half: r["count"] for r in ids.filter("toxic = 1").groupBy("half").count().collect()}
+    least = F.when(F.col("half") == 0, max(5, sizes.get(0, 0) // 50)).otherwise(max(5, sizes.get(1, 0) // 50))
+    found = [(bytes(r.name), r.half) for r in seen.filter((F.col("bad") >= least) & (F.col("bad") >= 0.95 * F.col("n"))).collect()]
+    pick = lambda kind: tuple(frozenset(x[1:] for x, h in found if h == half and x[:1] == kind) for half in (0, 1))
+    return Lexicon(pick(b"w"), pick(b"s"))
 
 
-def votes(docs: DataFrame, labels: DataFrame, words: Lexicon) -> DataFrame:
+def votes(docs: DataFrame, words: Lexicon) -> DataFrame:
     """(doc_id, junk, toxic): each document's votes, three values a labeller, as one number for each fact."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -190,18 +208,12 @@ def votes(docs: DataFrame, labels: DataFrame, words: Lexicon) -> DataFrame:
         for b in batches:
             junk, toxic = [], []
             for t in b.column(1).to_pylist():
-                v = junk_votes(style(t))
-                junk.append(sum(x * 3**k for k, x in enumerate(v)))
                 own = words_of(t)
-                hit = words.hits(own, stems(own)) > 0
-                toxic.append((ABSTAIN if INSULTS.isdisjoint(own) else BAD) + 3 * (BAD if hit else GOOD if words.words or words.stems else ABSTAIN))
+                junk.append(sum(x * 3**k for k, x in enumerate(junk_votes(style(t)))))
+                toxic.append(sum(x * 3**k for k, x in enumerate(words.votes(own, stems(own)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(junk, pa.int32()), pa.array(toxic, pa.int32())], names=["doc_id", "junk", "toxic"])
 
-    own = docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, junk int, toxic int")
-    said = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("tox"))
-    label = lambda c, bad: F.when(F.col(c).isNull(), ABSTAIN).when(F.col(c) == bad, BAD).otherwise(GOOD)
-    both = own.join(said, "doc_id", "left")
-    return both.select("doc_id", (F.col("junk") + 3**7 * label("quality", 0)).alias("junk"), (F.col("toxic") + 9 * label("tox", 1)).alias("toxic"))
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, junk int, toxic int")
 
 
 def posteriors(cast: DataFrame, fact: str, labellers: int) -> dict[int, float]:
@@ -210,51 +222,61 @@ def posteriors(cast: DataFrame, fact: str, labellers: int) -> dict[int, float]:
     if not rows:
         return {}
     patterns = np.array([[p // 3**k % 3 for k in range(labellers)] for p, _ in rows])
-    post, _, _ = em(patterns, np.array([n for _, n in rows], float), labellers - 1)
+    post, _, _ = em(patterns, np.array([n for _, n in rows], float))
     return {p: float(x) for (p, _), x in zip(rows, post, strict=True)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """The scorer; without any document it calls nothing bad."""
     words = lexicon(docs, labels)
-    cast = written(votes(docs, labels, words), "votes")
+    cast = written(votes(docs, words), "votes")
     junk, toxic = posteriors(cast, "junk", len(JUNK)), posteriors(cast, "toxic", len(TOXIC))
-    some = cast.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).dropDuplicates(["doc_id"])
+    some = cast.filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "junk", "toxic").limit(sample)
+    some = some.groupBy("doc_id").agg(F.min(F.struct("junk", "toxic")).alias("v")).select("doc_id", "v.*")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [hashed(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "junk", "toxic", "features"])
+            texts = b.column(1).to_pylist()
+            rows = [hashed(t, words) for t in texts]
+            crc = pa.array([zlib.crc32(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), crc, pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "junk", "toxic", "crc", "features"])
 
     # At most ``sample`` rows of three numbers: a proven bound.
     texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "junk", "toxic")
     # Columns of numbers, not rows of Python objects: the driver holds a few bytes a feature.
-    got = texts.mapInArrow(run, f"doc_id {kind}, junk int, toxic int, features array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    got = texts.mapInArrow(run, f"doc_id {kind}, junk int, toxic int, crc bigint, features array<int>").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("crc", "ascending")]).combine_chunks()
     target = np.array([1 - (1 - junk[j]) * (1 - toxic[x]) for j, x in zip(got["junk"].to_pylist(), got["toxic"].to_pylist(), strict=True)])
     each = pa.compute.list_value_length(got["features"]).to_numpy()
     flat = pa.compute.list_flatten(got["features"]).to_numpy()
     return Scorer.trained(np.split(flat, np.cumsum(each)[:-1]) if len(each) else [], target, words)
 
 
-def scored(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns as they are, with __p_bad: the probability that the text is junk or toxic.
+def scored(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, only_kept: bool = False, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns as they are, with p_bad: the probability that the text is junk or toxic.
 
-    Null and empty texts have the features of an empty text. Rows stand for themselves; an empty table
-    gives an empty result.
+    With ``only_kept`` the rows below the threshold, without the probability. Null and empty texts have the
+    features of an empty text. Rows stand for themselves; an empty table gives an empty result; a column p_bad
+    of ``docs`` has to be renamed first, unless ``only_kept``.
     """
-    kind = docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scorer))
-    names = docs.columns
+    at = docs.columns.index(text_col)
+
+    def probabilities(b: pa.RecordBatch, own: Scorer) -> list[float]:
+        texts = b.column(at).cast(pa.binary()) if b.num_rows else []
+        return [own.probability(t) for t in (x.as_py() or b"" for x in texts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
         for b in batches:
-            texts = b.column(names.index("text")).cast(pa.binary()) if b.num_rows else []
-            p = [own.probability(t) for t in (x.as_py() or b"" for x in texts)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*names, "__p_bad"])
+            p = np.array(probabilities(b, own), float)
+            if only_kept:
+                yield b.filter(pa.array(p < threshold))
+            else:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "p_bad"])
 
-    return docs.mapInArrow(run, T.StructType([*kind.fields, T.StructField("__p_bad", T.DoubleType())]))
+    return docs.mapInArrow(run, docs.schema if only_kept else T.StructType([*docs.schema.fields, T.StructField("p_bad", T.DoubleType())]))
 
 
 def op8_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,5 +284,4 @@ def op8_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scorer = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = scored(docs.select("doc_id", "text"), scorer)
-    return out.select("doc_id", F.col("__p_bad").alias("p_bad"), (1 - F.col("__p_bad")).alias("score"), (F.col("__p_bad") < THRESHOLD).alias("kept"))
-
+    return out.select("doc_id", "p_bad", (1 - F.col("p_bad")).alias("score"), (F.col("p_bad") < THRESHOLD).alias("kept"))
