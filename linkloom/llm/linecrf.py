@@ -2,8 +2,13 @@
 
 A linear-chain conditional random field marks each line of a text as content or boilerplate; Viterbi
 decoding finds the best labelling, and the share of words in content lines decides whether the text stays.
-The field is trained here, by gradient ascent on its likelihood, on the lines of a bounded sample of
-labelled documents: lines of good documents are content, lines of bad ones boilerplate.
+
+Lines have no labels of their own; a bounded sample of documents has. So the field is trained by expectation-
+maximisation with a constraint on each document: of a good one at least GOOD_SHARE of the words are expected in content
+lines, of a bad one at most BAD_SHARE. The likeliest labels of the lines, their posteriors moved just as far as the
+constraint asks, are what the next gradient steps on the likelihood aim at. It starts from plain marks of boilerplate
+lines, to which weights that the sample says nothing about return; which lines of a document are which, and how labels
+follow each other, is learned.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ SAMPLE = 2000
 #: Least share of words in content lines of a document that stays.
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
+#: Expected shares of words in content lines that training holds good and bad documents to.
+GOOD_SHARE, BAD_SHARE = 0.6, 0.3
 BLANK = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -114,6 +121,66 @@ def line_features(text: bytes) -> tuple[list[list[int]], list[int]]:
     return out, sizes
 
 
+class Lines:
+    """The lines of several texts, stepped through together: the k-th lines of all that have one."""
+
+    def __init__(self, texts: list[list[list[int]]]):
+        length = np.array([len(t) for t in texts], np.int64)
+        self.matrix = np.zeros((int(length.sum()), N_FEATURES))
+        for row, f in enumerate(f for t in texts for f in t):
+            self.matrix[row, f] = 1
+        self.text = np.repeat(np.arange(len(texts)), length)
+        self.start = np.cumsum(length) - length
+        order = np.argsort(-length, kind="stable")
+        self.first, size = self.start[order], length[order]
+        self.alive = [int((size > k).sum()) for k in range(int(size[0]) if len(size) else 0)]
+
+    def posteriors(self, score: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(each line's posterior of both labels, expected number of each move, each line's log partition sum of its text)."""
+        first, alive = self.first, self.alive
+        fore, back = np.empty_like(score), np.zeros_like(score)
+        for k, n in enumerate(alive):
+            at = first[:n] + k
+            fore[at] = score[at] if k == 0 else score[at] + np.logaddexp(fore[at - 1, :1] + move[0], fore[at - 1, 1:] + move[1])
+        for k in range(len(alive) - 2, -1, -1):
+            at = first[: alive[k + 1]] + k
+            nxt = score[at + 1] + back[at + 1]
+            back[at] = np.logaddexp(move[:, 0] + nxt[:, :1], move[:, 1] + nxt[:, 1:])
+        both = fore + back
+        norm = np.logaddexp(both[:, 0], both[:, 1])
+        moves = np.zeros((2, 2))
+        for k in range(len(alive) - 1):
+            at = first[: alive[k + 1]] + k
+            joint = fore[at][:, :, None] + move + (score[at + 1] + back[at + 1])[:, None, :] - norm[at][:, None, None]
+            moves += np.exp(joint).sum(axis=0)
+        return np.exp(both - norm[:, None]), moves, norm
+
+    def moves(self, label: np.ndarray) -> np.ndarray:
+        """How often each label follows each in a text."""
+        same = self.text[1:] == self.text[:-1]
+        return np.bincount((2 * label[:-1] + label[1:])[same], minlength=4).reshape(2, 2).astype(float)
+
+    def constrained(self, score: np.ndarray, move: np.ndarray, words: np.ndarray, good: np.ndarray) -> np.ndarray:
+        """The lines' posteriors with a score added to the content label of all lines of a text, just enough for its share."""
+        total = np.bincount(self.text, words, len(good))
+
+        def held(offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            moved = score.copy()
+            moved[:, CONTENT] += offset[self.text]
+            p = self.posteriors(moved, move)[0]
+            return p, np.bincount(self.text, words * p[:, CONTENT], len(good)) / total
+
+        zero, far = np.zeros(len(good)), np.where(good, 30.0, -30.0)
+        met = lambda share: np.where(good, share >= GOOD_SHARE, share <= BAD_SHARE)
+        free = met(held(zero)[1])
+        near = zero.copy()
+        for _ in range(10):
+            middle = (near + far) / 2
+            ok = met(held(middle)[1])
+            near, far = np.where(ok, near, middle), np.where(ok, middle, far)
+        return held(np.where(free, zero, far))[0]
+
+
 class LineField:
     """Two labels: a weight for each feature and label, and for each pair of neighbouring labels."""
 
@@ -130,53 +197,29 @@ class LineField:
         return cls(emit, np.array([[0.5, 0.0], [0.0, 0.5]]))
 
     @classmethod
-    def fitted(cls, texts: list[list[list[int]]], labels: list[int], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> LineField:
-        """Maximises the mean log-likelihood a line by gradient ascent with per-weight rates."""
+    def fitted(cls, texts: list[list[list[int]]], words: list[list[int]], labels: list[int], rounds: int = 6, steps: int = 15, rate: float = 0.1, decay: float = 1e-3) -> LineField:
+        """Of texts with their lines' features and numbers of words, and whether each is good: constrained EM."""
         if len(set(labels)) < 2:
             return cls.by_hand()
-        emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+        lines, good = Lines(texts), np.array(labels) == 1
+        size = np.array([n for t in words for n in t], float)
+        own = cls.by_hand()
+        emit, move = own.emit, own.move
         se, sm = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
-        length = np.array([len(t) for t in texts])
-        matrix = np.zeros((int(length.sum()), N_FEATURES))
-        for row, f in enumerate(f for t in texts for f in t):
-            matrix[row, f] = 1
-        # Texts are stepped through together: the k-th lines of all that have one.
-        order = np.argsort(-length, kind="stable")
-        first = np.r_[0, np.cumsum(length)[:-1]][order]
-        size = length[order]
-        alive = [int((size > k).sum()) for k in range(int(size[0]) if len(size) else 0)]
-        gold = np.repeat(np.array(labels)[order], size)
-        rows = np.concatenate([np.arange(a, a + n) for a, n in zip(first, size, strict=True)])
-        truth = np.zeros(len(matrix), int)
-        truth[rows] = gold
-        pairs = np.zeros((2, 2))
-        for y, n in zip(np.array(labels)[order], size, strict=True):
-            pairs[y, y] += max(0, n - 1)
+        # Texts of both kinds weigh the same, whatever their numbers of lines.
+        lines_of = np.array([(good[lines.text] == k).sum() for k in (False, True)], float)
+        weight = (len(size) / 2 / np.maximum(lines_of, 1))[good[lines.text].astype(int)]
         for _ in range(rounds):
-            score = matrix @ emit
-            fore = np.empty_like(score)
-            back = np.zeros_like(score)
-            for k, n in enumerate(alive):
-                at = first[:n] + k
-                fore[at] = score[at] if k == 0 else score[at] + np.logaddexp(fore[at - 1, :1] + move[0], fore[at - 1, 1:] + move[1])
-            for k in range(len(alive) - 2, -1, -1):
-                at = first[: alive[k + 1]] + k
-                nxt = score[at + 1] + back[at + 1]
-                back[at] = np.logaddexp(move[:, 0] + nxt[:, :1], move[:, 1] + nxt[:, 1:])
-            both = fore + back
-            norm = np.logaddexp(both[:, 0], both[:, 1])
-            p = np.exp(both - norm[:, None])
-            expect = np.zeros((2, 2))
-            for k in range(len(alive) - 1):
-                at = first[: alive[k + 1]] + k
-                joint = fore[at][:, :, None] + move + (score[at + 1] + back[at + 1])[:, None, :] - norm[at][:, None, None]
-                expect += np.exp(joint).sum(axis=0)
-            ge = matrix.T @ (np.eye(2)[truth] - p) / len(matrix) - decay * emit
-            gm = (pairs - expect) / len(matrix) - decay * move
-            se += ge**2
-            sm += gm**2
-            emit += rate * ge / np.sqrt(se)
-            move += rate * gm / np.sqrt(sm)
+            label = lines.constrained(lines.matrix @ emit, move, size, good).argmax(axis=1)
+            target, pairs = np.eye(2)[label], lines.moves(label)
+            for _ in range(steps):
+                p, expect, _ = lines.posteriors(lines.matrix @ emit, move)
+                ge = lines.matrix.T @ (weight[:, None] * (target - p)) / len(size) - decay * (emit - own.emit)
+                gm = (pairs - expect) / len(size) - decay * (move - own.move)
+                se += ge**2
+                sm += gm**2
+                emit = emit + rate * ge / np.sqrt(se)
+                move = move + rate * gm / np.sqrt(sm)
         return cls(emit, move)
 
     def decode(self, features: list[list[int]]) -> list[int]:
@@ -200,13 +243,17 @@ class LineField:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, flag: str = "quality") -> DataFrame:
-    """(doc_id, text, flag) of at most ``per_class`` labelled documents of each class, first by hash."""
+    """(doc_id, text, flag) of at most ``per_class`` labelled documents of each class, first by hash.
+
+    Of a document with several labels the least counts; rows of one id are that document, repeated.
+    """
+    known = labels.filter(F.col(flag).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(flag).cast("int")).alias(flag))
     ids = None
     for value in (0, 1):
-        some = labels.filter(F.col(flag) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select(F.col("doc_id"), F.lit(value).alias("__flag"))
+        some = known.filter(F.col(flag) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = some if ids is None else ids.unionByName(some)
     # At most 2 * per_class ids: a proven bound.
-    return docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", F.col("__flag").alias(flag))
+    return docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", flag)
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> LineField:
@@ -214,13 +261,14 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [line_features(t)[0] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([[sum(1 << f for f in x) for x in r] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "quality", "lines"])
+            rows = [line_features(t) for t in b.column(1).to_pylist()]
+            lines = pa.array([[sum(1 << f for f in x) for x in r] for r, _ in rows], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lines, pa.array([n for _, n in rows], pa.list_(pa.int32()))], names=["doc_id", "quality", "lines", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = labelled_sample(docs, labels, per_class).mapInArrow(run, f"doc_id {kind}, quality int, lines array<int>").collect()
-    got = sorted((r.doc_id, r.quality, r.lines) for r in got if r.lines)
-    return LineField.fitted([[[k for k in range(N_FEATURES) if x >> k & 1] for x in lines] for _, _, lines in got], [q for _, q, _ in got])
+    got = labelled_sample(docs, labels, per_class).mapInArrow(run, f"doc_id {kind}, quality int, lines array<int>, words array<int>").collect()
+    got = sorted((r.doc_id, r.quality, r.lines, r.words) for r in got if r.lines)
+    return LineField.fitted([[[k for k in range(N_FEATURES) if x >> k & 1] for x in lines] for _, _, lines, _ in got], [w for *_, w in got], [q for _, q, _, _ in got])
 
 
 def quality_rules(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", share: float = CONTENT_SHARE) -> DataFrame:

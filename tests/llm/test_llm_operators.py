@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import bloom, curriculum, langid, linecrf, pieces, resync, shards, simhash, suffixes, weaklabel
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, size string, target string, fp int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, size string, target string, fp int, a string, b string, id string, row string, `__size` string, `__id` string, `__own` string, n int"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -30,7 +30,7 @@ def corpus(n=60, seed=5):
         kind = i % 6
         text = out[-1][1] if kind == 1 else out[-2][1].replace("it", "is", 1) if kind == 2 else prose(r.randint(1, 120)) + (passage if kind == 3 else "")
         out.append((i * 3, text if kind != 4 else text.replace(" ", "  ")))
-    rows = [(i, t, "en" if i % 2 else "fr", None if i % 7 == 0 else f"s{i % 3}", "big", "t", 1) for i, t in out]
+    rows = [(i, t, "en" if i % 2 else "fr", None if i % 7 == 0 else f"s{i % 3}", "big", "t", 1, "a", "b", "id", "row", "z", "i", "o", 2) for i, t in out]
     return rows + [rows[9], rows[0]]  # the same rows again
 
 
@@ -80,13 +80,60 @@ def test_viterbi_is_the_best_labelling():
     assert field.decode([]) == []
 
 
+def test_posteriors_are_those_of_all_labellings():
+    """Unary posteriors, expected moves and partition sums against the sum over all labellings."""
+    r = np.random.default_rng(2)
+    texts = [[list(r.choice(linecrf.N_FEATURES, 3, replace=False)) for _ in range(n)] for n in (3, 1, 5)]
+    emit, move = r.normal(size=(linecrf.N_FEATURES, 2)), r.normal(size=(2, 2))
+    lines = linecrf.Lines(texts)
+    p, moves, norm = lines.posteriors(lines.matrix @ emit, move)
+    want_p, want_moves = np.zeros_like(p), np.zeros((2, 2))
+    for t, at in zip(texts, lines.start, strict=True):
+        n, total, own_p, own_moves = len(t), 0.0, np.zeros((len(t), 2)), np.zeros((2, 2))
+        for k in range(1 << n):
+            y = [k >> j & 1 for j in range(n)]
+            w = np.exp(sum(emit[f, v].sum() for f, v in zip(t, y, strict=True)) + sum(move[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += w
+            own_p[np.arange(n), y] += w
+            for a, b in zip(y, y[1:], strict=False):
+                own_moves[a, b] += w
+        want_p[at : at + n], want_moves = own_p / total, want_moves + own_moves / total
+        assert norm[at : at + n] == pytest.approx(np.log(total))
+    assert p == pytest.approx(want_p) and moves == pytest.approx(want_moves)
+    words, good = np.ones(len(p)), np.array([True, False, True])
+    held = lines.constrained(lines.matrix @ emit, move, words, good)
+    assert lines.moves(np.array([0, 1, 1, 0, 1, 1, 0, 0, 1])).tolist() == [[1, 2], [1, 2]]
+    share = np.bincount(lines.text, held[:, linecrf.CONTENT]) / np.bincount(lines.text)
+    assert (share[good] >= linecrf.GOOD_SHARE - 1e-9).all() and (share[~good] <= linecrf.BAD_SHARE + 1e-9).all()
+
+
 def test_fitted_field_tells_lines_apart(spark, sf_dir):
     d, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    got = linecrf.quality_rules(d, linecrf.fit_field(d, labels)).join(labels, "doc_id").collect()
+    field = linecrf.fit_field(d, labels)
+    got = linecrf.quality_rules(d, field).join(labels, "doc_id").collect()
     good = [r.kept for r in got if r.quality == 1 and not r.base_failed]
     assert np.mean(good) > 0.95
     assert not any(r.kept for r in got if r.quality == 0 and r.n_repeat_words > r.n_words / 2)
+    # Lines planted among prose: the field was trained on labels of documents only.
+    r, right, n = random.Random(8), 0, 0
+    prose = [x.strip().encode() for row in d.join(labels.filter("quality = 1 AND toxic = 0"), "doc_id").limit(60).collect() for x in (row.text or "").split("\n") if len(x.split()) > 5]
+    junk = [lambda w: " | ".join(w), lambda w: " ".join(x.upper() + "!!" for x in w), lambda w: " ".join(x + r.choice(["%%%", "&&&", "$$$"]) for x in w)]
+    for _ in range(60):
+        lines, truth = [], []
+        for _ in range(r.randint(2, 4)):  # blocks of one kind, as menus and notices stand in pages
+            kind = r.choice([None, *junk])
+            for _ in range(r.randint(2, 4)):
+                x = r.choice(prose)
+                lines.append(x if kind is None else kind(x.decode().split()).encode())
+                truth.append(int(kind is None))
+        marks = field.decode(linecrf.line_features(b"\n".join(lines))[0])
+        right += sum(a == b for a, b in zip(marks, truth, strict=True))
+        n += len(truth)
+    assert right > 0.9 * n
     assert linecrf.fit_field(d, labels.limit(0)).emit.tolist() == linecrf.LineField.by_hand().emit.tolist()
+    # Of conflicting labels the worse counts, whatever the order of rows.
+    twice = labels.unionByName(labels.withColumn("quality", F.lit(0))).orderBy(F.rand(1))
+    assert {r.quality for r in linecrf.labelled_sample(d, twice, 50).collect()} == {0}
 
 
 def test_kneser_ney_sums_to_one_and_identifies(spark, sf_dir, docs, empty):
@@ -236,25 +283,29 @@ def test_weak_labels(spark, sf_dir, docs, empty):
     truth = r.random(6000) < 0.2
     votes = np.stack([np.where(r.random(6000) < c, np.where(r.random(6000) < a, 1 + truth, 2 - truth), 0) for c, a in ((0.9, 0.9), (0.8, 0.8), (0.5, 0.98))], axis=1)
     patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    post, theta, prior = weaklabel.em(patterns, counts.astype(float), 2)
+    post, theta, prior = weaklabel.em(patterns, counts.astype(float))
     assert np.mean((post[back.ravel()] > 0.5) == truth) > 0.93 and prior == pytest.approx(0.2, abs=0.05)
     assert theta[0, 1, 2] / theta[0, 1, 1:].sum() == pytest.approx(0.9, abs=0.08)
     d, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scorer = weaklabel.fit(d, labels.filter("doc_id % 3 > 0"))
     got = weaklabel.scored(d, scorer).join(labels.filter("doc_id % 3 = 0"), "doc_id").collect()
-    right = [(r["__p_bad"] >= 0.5) == (r.quality == 0 or r.toxic == 1) for r in got]
+    right = [(r.p_bad >= 0.5) == (r.quality == 0 or r.toxic == 1) for r in got]
     assert np.mean(right) > 0.8
     assert weaklabel.scored(docs, scorer).count() == docs.count() and weaklabel.scored(empty, scorer).count() == 0
     none = weaklabel.fit(empty, labels.limit(0))
-    assert weaklabel.scored(docs, none).filter("__p_bad > 0.5").count() == 0
+    assert weaklabel.scored(docs, none).filter("p_bad > 0.5").count() == 0
+
+
+def placed(docs):
+    return curriculum.placed(docs.select(F.col("doc_id").alias("id"), "source", curriculum.word_count().alias("size")))
 
 
 def test_mixture(docs, empty, spark):
-    got = curriculum.mixed(docs, curriculum.word_count()).collect()
+    got = placed(docs).collect()
     words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in plain(docs)}
-    assert len(got) == docs.count() and all(r["__size"] == words[r.doc_id] for r in got)
+    assert len(got) == docs.count() and all(r["size"] == words[r.id] for r in got)
     names = sorted({r.source for r in got if r.source}) + [None]
-    total = {s: sum(r["__size"] for r in got if r.source == s) for s in names}
+    total = {s: sum(r["size"] for r in got if r.source == s) for s in names}
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
     target, free, rest = {}, set(names), sum(total.values())
     while free:
@@ -265,15 +316,20 @@ def test_mixture(docs, empty, spark):
         free = free - over if over else set()
     for s in names:
         own = [r for r in got if r.source == s]
-        assert own[0]["__target"] == pytest.approx(target[s])
-        taken = sum(r["__copies"] * r["__size"] for r in own)
-        assert abs(taken - target[s]) <= max(r["__size"] for r in own) and all(r["__copies"] <= 3 for r in own)
-        assert all(0 <= r["__position"] <= 1 for r in own if r["__copies"])
+        assert own[0].target == pytest.approx(target[s])
+        taken = sum(r["copies"] * r["size"] for r in own)
+        assert abs(taken - target[s]) <= max(r["size"] for r in own) and all(r["copies"] <= 3 for r in own)
+        assert all(0 <= r["position"] <= 1 for r in own if r["copies"])
     mix = curriculum.mixture(docs, curriculum.word_count())
-    assert mix.columns == docs.columns and mix.count() == sum(r["__copies"] for r in got)
-    assert curriculum.mixed(empty, curriculum.word_count()).count() == 0
-    plan = curriculum.mixed(docs, curriculum.word_count())._jdf.queryExecution().toString()
+    assert mix.columns == docs.columns and mix.count() == sum(r["copies"] for r in got)
+    assert placed(empty).count() == 0 and curriculum.mixture(empty, curriculum.word_count()).count() == 0
+    plan = placed(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+    # Without repeated ids the rows are looked up; the mixture is the same, also in its order.
+    once = docs.dropDuplicates(["doc_id"]).cache()
+    first = [r.doc_id for r in curriculum.mixture(once, curriculum.word_count()).collect()]
+    more = once.unionByName(once.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("text", F.lit("")))
+    assert [r.doc_id for r in curriculum.mixture(more, curriculum.word_count()).collect() if r.doc_id is not None] == first
 
 
 def _removed(rows):
