@@ -11,7 +11,7 @@ from linkloom.functions import text as X
 
 def mapped_tokens(c: Column) -> Column:
     """Words with abbreviations spelt out, sorted and distinct."""
-    words = F.create_map(*(F.lit(x) for pair in K.ADDRESS_WORDS.items() for x in pair))
+    words = X.table_of(K.ADDRESS_WORDS)
     kept = F.filter(F.split(X.normal(c), " "), lambda w: (F.length(w) > 1) & ~F.array_contains(X.words_in(K.NAME_STOPWORDS), w))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda w: F.coalesce(words[w], w))))
 
@@ -53,7 +53,9 @@ def house_number(words: Column, postal: Column, longest: int = 5) -> Column:
 def state_code(c: Column, country: Column, floors: bool = False) -> Column:
     """India: the first entry of the table that occurs; US: the last two-letter word that is a state."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    india = F.coalesce(*(F.when(low.rlike(rf"\b{name}\b"), F.lit(code)) for name, code in K.INDIA_STATE_CODES.items()))
+    # The first entry of the table that occurs, whatever its place in the text.
+    codes = X.table_of(K.INDIA_STATE_CODES)
+    india = codes[F.try_element_at(F.filter(X.words_in(K.INDIA_STATE_CODES), lambda n: F.regexp_instr(low, F.concat(F.lit(r"\b"), n, F.lit(r"\b"))) > 0), F.lit(1))]
     own = F.regexp_replace(low, r"\bfl\b\.?\s*(floor|ground|[0-9])", " ") if floors else low
     fifty = [s for s in K.US_STATES if s != "dc"]
     us = F.try_element_at(F.filter(F.regexp_extract_all(own, F.lit(r"\b([a-z]{2})\b"), 1), lambda w: F.array_contains(X.words_in(fifty), w)), F.lit(-1))
@@ -67,7 +69,7 @@ def state_name(plain: Column, country: Column, compat: bool = False) -> Column:
     """
 
     def by(table: dict[str, str]) -> Column:
-        codes = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+        codes = X.table_of(table)
         words = F.split(F.regexp_replace(plain, r"\bfl\b\.?\s*(floor|ground|[0-9])", " "), " ")
         code = F.try_element_at(F.filter(words, lambda w: codes[w].isNotNull()), F.lit(1))
         names = {n: n for n in table.values()} | K.OLD_STATE_NAMES
@@ -101,9 +103,14 @@ def street_words(c: Column) -> Column:
 
 
 def distinctive_words(c: Column) -> Column:
-    """Words of letters in order, without generic ones."""
-    generic = (*K.STOPWORDS, *K.ADDRESS_WORDS, *K.ADDRESS_WORDS.values(), "main", "cross", "floor", "building", "block", "sector", "phase", "nagar")
-    return F.array_distinct(F.filter(F.regexp_extract_all(X.clean(c), F.lit("([a-z]+)"), 1), lambda w: (F.length(w) >= 3) & ~F.array_contains(X.words_in(generic), w)))
+    """Words of three characters or more in order, numbers too, without stop words and generic ones."""
+    words = F.split(X.squeeze(F.regexp_replace(c, r"[^a-z0-9_\s]", " ")), " ")
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(X.words_in((*K.STOPWORDS, *K.GENERIC_ADDRESS)), w))
+
+
+def locality_words(c: Column) -> Column:
+    """Of the first four words as written those of more than three characters that are not generic."""
+    return F.filter(F.slice(F.split(X.squeeze(c), " "), 1, 4), lambda w: (F.length(w) > 3) & ~F.array_contains(X.words_in(K.GENERIC_LOCALITY), w))
 
 
 def without_digits(c: Column) -> Column:

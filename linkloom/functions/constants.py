@@ -25,6 +25,13 @@ CONSENSUS_ENDINGS = ("pvtltd", "privatelimited", "ltd", "llc", "inc", "corp", "c
 STOPWORDS = ("the", "and", "of", "a", "an", "in", "to", "for", "at", "on", "by", "null", "near", "opp", "no", "mr", "ms", "sri", "shri", "smt")
 NAME_STOPWORDS = ("the", "and", "of", "a", "an", "in", "to", "for", "at", "on", "by")
 FEATURE_STOPWORDS = (*NAME_STOPWORDS, "null", "near", "opp", "no")
+#: Words of an address that tell little; those of the first list do not count towards its distinctive words.
+GENERIC_ADDRESS = (
+    "road", "street", "avenue", "boulevard", "drive", "lane", "highway", "rd", "st", "ave", "dr", "ln", "hwy", "floor", "room",
+    "unit", "building", "plot", "house", "city", "state", "india", "us", "usa", "france", "district", "block", "sector",
+    "nagar", "colony", "marg", "gali", "ward", "taluk", "tehsil", "rue", "place", "allee", "chemin", "impasse", "route", "cours",
+)
+GENERIC_LOCALITY = ("road", "street", "avenue", "city", "state", "near")
 ADDRESS_WORDS = {
     "rd": "road", "st": "street", "ave": "avenue", "blvd": "boulevard", "dr": "drive", "ln": "lane", "apt": "apartment",
     "hwy": "highway", "ct": "court", "pl": "place", "ste": "suite", "fl": "floor", "pkg": "parking",

@@ -8,7 +8,7 @@ also empty ones, are 1. The profiles give different numbers, so the profile is a
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,14 +17,37 @@ from pyspark.sql import types as T
 
 from linkloom.functions.text import metaphone_of
 
+#: Texts, and pairs of them, whose parts and similarities a task remembers.
+REMEMBERED = 200_000
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a machine word of positions at a time."""
+
+def remembered(f: Callable) -> Callable:
+    """``f`` of one text, computed once a text, as long as it is remembered. Travels by value, unlike functools' caches."""
+    known: dict = {}
+
+    def get(x: str):
+        if x not in known:
+            if len(known) > REMEMBERED:
+                known.clear()
+            known[x] = f(x)
+        return known[x]
+
+    return get
+
+
+@remembered
+def _places(a: str) -> dict[str, int]:
+    """For each character the positions that have it, as bits."""
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
+    return places
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a machine word of positions at a time."""
+    places = _places(a)
+    full = row = (1 << len(a)) - 1
     for c in b:
         hit = row & places.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
@@ -40,13 +63,23 @@ def blocks(a: str, b: str) -> float:
     return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
 
 
+@remembered
+def _sorted_words(a: str) -> str:
+    return " ".join(sorted(a.split()))
+
+
+@remembered
+def _word_set(a: str) -> frozenset[str]:
+    return frozenset(a.split())
+
+
 def token_sort(a: str, b: str, ratio=indel) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(_sorted_words(a), _sorted_words(b))
 
 
 def token_set(a: str, b: str, ratio=indel) -> float:
     """The best of: shared words against either side, and the two sides, each with its own words after the shared."""
-    x, y = set(a.split()), set(b.split())
+    x, y = _word_set(a), _word_set(b)
     top = 1.0 if ratio is blocks else 100.0
     if a == b and ratio is blocks:
         return top
@@ -60,17 +93,33 @@ def token_set(a: str, b: str, ratio=indel) -> float:
 
 
 def partial(a: str, b: str, ratio=indel) -> float:
-    """The best window of the longer text of the shorter's length; ``indel`` also tries shorter windows at the ends."""
+    """The best window of the longer text of the shorter's length; ``indel`` also tries shorter windows at the ends.
+
+    Windows are tried by an upper bound, the common subsequence, until the best can't be passed.
+    """
+    top = 1.0 if ratio is blocks else 100.0
     if a == b:
-        return 1.0 if ratio is blocks else 100.0
+        return top
     if not a or not b:
         return 0.0
     a, b = sorted((a, b), key=len)
+    if a in b:
+        return top
     m = len(a)
     windows = [b[i : i + m] for i in range(len(b) - m + 1)]
     if ratio is indel:
-        windows += [b[:i] for i in range(1, m)] + [b[-i:] for i in range(1, m)]
-    return max(ratio(a, w) for w in dict.fromkeys(windows))
+        best = max(indel(a, w) for w in dict.fromkeys(windows))
+        for i in range(m - 1, 0, -1):
+            if 200.0 * i / (i + m) <= best:
+                break
+            best = max(best, indel(a, b[:i]), indel(a, b[-i:]))
+        return best
+    best = 0.0
+    for bound, w in sorted(((2.0 * common_subsequence(a, w) / (m + len(w)), w) for w in dict.fromkeys(windows)), reverse=True):
+        if bound <= best:
+            break
+        best = max(best, blocks(a, w))
+    return best
 
 
 def jaro_winkler(a: str, b: str, boost_above: float = 0.0) -> float:
@@ -105,7 +154,36 @@ def metaphone_similarity(a: str, b: str) -> float:
     return blocks(x, y) if x and y else 0.5
 
 
+#: What parts the variants of a name in one text: full, core, decoded, alias.
+VARIANT = "\x01"
+
+
+def _variants(text: str) -> list[tuple[bool, str]]:
+    """(is the alias, variant) of each distinct variant that is not empty; an empty one if there is none."""
+    out: dict[str, bool] = {}
+    for k, v in enumerate(text.split(VARIANT)):
+        if v and v not in out:
+            out[v] = k == 3
+    return [(alias, v) for v, alias in out.items()]
+
+
+def _best_of(texts: tuple[str, str]) -> tuple[float, float, float, float, float]:
+    """Over all pairs of variants the best of four metrics, and whether the first pair to reach the best of all has an alias."""
+    best, used = [0.0] * 4, 0.0
+    for x_alias, x in _variants(texts[0]):
+        for y_alias, y in _variants(texts[1]):
+            own = token_sort(x, y), token_set(x, y), partial(x, y), partial(x.replace(" ", ""), y.replace(" ", ""))
+            if max(own) > max(best):
+                used = float(x_alias or y_alias)
+            best = [max(p) for p in zip(best, own, strict=True)]
+    return (*best, used)
+
+
+_best = remembered(_best_of)
+
 _KINDS = {
+    "best_token_sort": lambda a, b: _best((a, b))[0], "best_token_set": lambda a, b: _best((a, b))[1], "best_partial": lambda a, b: _best((a, b))[2],
+    "best_nospace_partial": lambda a, b: _best((a, b))[3], "best_is_alias": lambda a, b: _best((a, b))[4],
     "indel": indel, "blocks": lambda a, b: blocks(a, b), "jaro_winkler": jaro_winkler, "jaro_winkler_above": lambda a, b: jaro_winkler(a, b, 0.7),
     "token_sort": token_sort, "token_set": token_set, "partial": partial, "metaphone": metaphone_similarity,
     "token_sort_blocks": lambda a, b: 1.0 if a == b else token_sort(a, b, blocks), "token_set_blocks": lambda a, b: token_set(a, b, blocks),
@@ -113,33 +191,52 @@ _KINDS = {
 }
 
 
-#: Pairs of texts whose similarity a task remembers.
-REMEMBERED = 200_000
+def measured(wanted: dict[str, tuple[str, Column, Column]]) -> Column:
+    """A struct with a field for each of ``wanted``: (kind, a, b), a kind of _KINDS; 0 where its name ends in "?" and a text is empty.
 
+    All are computed in one pass over Arrow batches; a task computes equal pairs once, as long as it remembers them.
+    """
+    names = list(wanted)
+    texts: dict[str, int] = {}
+    columns: list[Column] = []
 
-def similarity(kind: str, a: Column, b: Column) -> Column:
-    """One of the metrics above over Arrow batches; a task computes equal pairs once, as long as it remembers them."""
-    f = _KINDS[kind]
+    def place(c: Column) -> int:
+        if str(c) not in texts:
+            texts[str(c)] = len(columns)
+            columns.append(F.coalesce(c, F.lit("")))
+        return texts[str(c)]
+
+    plan = [(_KINDS[kind.rstrip("?")], kind, place(a), place(b)) for kind, a, b in wanted.values()]
 
-    @F.pandas_udf(T.DoubleType())
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[tuple[str, str], float] = {}
-        for x, y in batches:
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, float] = {}
+        for cols in batches:
             if len(known) > REMEMBERED:
                 known.clear()
-            out = []
-            for p in zip(x, y, strict=True):
-                if p not in known:
-                    known[p] = f(*p)
-                out.append(known[p])
-            yield pd.Series(out, dtype="float64")
+            lists = [c.tolist() for c in cols]
+            out = {}
+            for name, (f, kind, i, j) in zip(names, plan, strict=True):
+                values = []
+                for a, b in zip(lists[i], lists[j], strict=True):
+                    p = known.get((kind, a, b))
+                    if p is None:
+                        p = known[kind, a, b] = 0.0 if kind[-1] == "?" and not (a and b) else f(a, b)
+                    values.append(p)
+                out[name] = values
+            yield pd.DataFrame(out, dtype="float64")
+
+    return run(*columns)
+
 
-    return run(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
+def similarity(kind: str, a: Column, b: Column) -> Column:
+    """One of the metrics above."""
+    return measured({"x": (kind, a, b)})["x"]
 
 
 def guarded(kind: str, a: Column, b: Column) -> Column:
     """similarity(), or 0 if either text is empty."""
-    return F.when((a != "") & (b != ""), similarity(kind, a, b)).otherwise(0.0)
+    return similarity(kind + "?", a, b)
 
 
 def levenshtein(a: Column, b: Column) -> Column:
@@ -202,11 +299,34 @@ def _typo(a: str, b: str) -> bool:
     return len(a) >= 2 and len(b) >= 2 and (a in b or b in a or abs(len(a) - len(b)) <= 1 or indel(a, b) >= 66)
 
 
-@F.pandas_udf(T.BooleanType())
-def _any_typo(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([any(_typo(a, b) for a in p for b in q) for p, q in zip(x, y, strict=True)], dtype="bool")
+def _near_typo(a: str, b: str) -> bool:
+    return len(a) >= 2 and len(b) >= 2 and (a in b or b in a or abs(len(a) - len(b)) <= 1) and indel(a, b) >= 66
+
+
+def _part(a: str, b: str) -> bool:
+    a, b = sorted((a, b), key=len)
+    return len(a) >= 3 and (a in b or indel(a, b) >= 75)
+
+
+_NUMBER_TESTS = {"typo": _typo, "near_typo": _near_typo, "part": _part}
+
+
+def numbers_near(kind: str, a: Column, b: Column) -> Column:
+    """Whether some two numbers are near.
+
+    typo: of two digits or more each, one lies in the other, or lengths or digits are near. near_typo: one lies in the
+    other or lengths are near, and digits are. part: of three digits or more each, one lies in the other or digits are
+    very near. ``a`` and ``b`` are arrays.
+    """
+    f = _NUMBER_TESTS[kind]
+
+    @F.pandas_udf(T.BooleanType())
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([any(f(p, q) for p in m for q in n) for m, n in zip(x, y, strict=True)], dtype="bool")
+
+    return run(a, b)
 
 
 def number_typo(a: Column, b: Column) -> Column:
     """Some two numbers of two digits or more are a typo apart: one in the other, lengths or digits near."""
-    return _any_typo(a, b)
+    return numbers_near("typo", a, b)

@@ -20,8 +20,19 @@ from linkloom.functions import constants as K
 _ACCENTED = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFKD", chr(c))) > 1 and unicodedata.combining(d[1]) and d[0].isascii()}
 
 
+def quoted(word: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def words_in(words) -> Column:
-    return F.array(*(F.lit(w) for w in words))
+    """Fixed words as an array; as SQL, since a call for each word takes longer than small queries run."""
+    return F.expr("array(" + ", ".join(map(quoted, words)) + ")")
+
+
+def table_of(entries: dict[str, str]) -> Column:
+    """Fixed entries as a map."""
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in entries.items()) + ")")
 
 
 def squeeze(c: Column) -> Column:
@@ -223,9 +234,10 @@ def compact(c: Column) -> Column:
 
 
 def domain_compact(c: Column) -> Column:
-    """The letters of a text that is shaped like a domain; else empty."""
-    shaped = F.lower(F.trim(c)).rlike(r"^(?:https?://)?(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(com|net|org|in|fr|co|io|biz)$")
-    return F.when(shaped, compact(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^(https?://)?(www\.)?", ""), r"(\.[a-z]+)+$", ""))).otherwise(F.lit(""))
+    """Letters and digits of a text that has a full stop or a domain ending, without that ending; else empty."""
+    low = F.lower(F.trim(c))
+    ending = r"\.(com|net|org|co|in|fr|io|biz)$"
+    return F.when(low.rlike(ending) | F.contains(low, F.lit(".")), F.regexp_replace(F.regexp_replace(low, ending, ""), "[^a-z0-9]", "")).otherwise(F.lit(""))
 
 
 def kernel_soundex_of(word: str) -> str:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from linkloom.functions import address as A
+
 #: A gram that more texts of a block's targets have is joined in several tasks.
 TARGETS_PER_TASK = 5000
 
@@ -20,7 +22,7 @@ TARGETS_PER_TASK = 5000
 def _keys() -> dict[str, Column]:
     pair = lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat_ws("|", x, y))))
     two = F.slice("nums", 1, 2)
-    prefix = lambda n: F.when(F.length("comp") >= n, F.array(F.substring("comp", 1, n))).otherwise(F.array().cast("array<string>"))
+    prefix = lambda n, least=None: F.when(F.length("comp") >= (least or n), F.array(F.substring("comp", 1, n))).otherwise(F.array().cast("array<string>"))
     return {
         "comp": F.when(F.col("comp") != "", F.array("comp")).otherwise(F.array().cast("array<string>")),
         "token": F.col("toks"),
@@ -28,9 +30,11 @@ def _keys() -> dict[str, Column]:
         "address_token": F.col("atoks"),
         "postal_number": pair(F.col("post"), F.col("nums")),
         "street_number": pair(F.col("street"), two),
-        "locality_number": pair(F.slice(F.col("atoks"), 1, 4), two),
+        "locality_number": pair(A.locality_words(F.col("addr")), two),
+        "distinct_number": pair(F.slice("dwords", 1, 3), two),
+        "distinct_word": F.slice("dwords", 1, 2),
         "number": F.col("nums"),
-        "prefix5": prefix(5),
+        "prefix5": prefix(5, 4),
         "prefix4": prefix(4),
         "prefix6": prefix(6),
     }
@@ -121,12 +125,34 @@ def rule_candidates(q: DataFrame, t: DataFrame, name_cap: int = 250, addr_cap: i
 
 
 def staged_candidates(q: DataFrame, t: DataFrame, under: int = 200) -> DataFrame:
-    """Compressed name, four rarest tokens, (locality, number); then single words and prefixes where few were found."""
-    base = union(capped(postings(q, "comp"), postings(t, "comp")), rarest(postings(q, "token"), postings(t, "token"), 4, 500), capped(postings(q, "locality_number"), postings(t, "locality_number"), 100))
-    base = widened(base, capped(postings(q, "address_token"), postings(t, "address_token"), 60), under)
+    """Compressed name, four rarest tokens, (distinctive address word, number); distinctive words and prefixes where few were found.
+
+    A query's first three distinctive words meet numbers, its first two stand alone; a target has all of its own.
+    """
+    places = lambda kind, keys, cap: capped(postings(q, kind), postings(t, kind, keys), cap)
+    every = F.flatten(F.transform("dwords", lambda x: F.transform("nums", lambda y: F.concat_ws("|", x, y))))
+    base = union(capped(postings(q, "comp"), postings(t, "comp")), rarest(postings(q, "token"), postings(t, "token"), 4, 500), places("distinct_number", every, 100))
+    base = widened(base, places("distinct_word", F.col("dwords"), 60), under)
     return widened(base, capped(postings(q, "prefix5"), postings(t, "prefix5"), 300), under)
 
 
+def locality_candidates(q: DataFrame, t: DataFrame, under: int = 150) -> DataFrame:
+    """Compressed name, two rarest tokens, (locality word, number); prefixes of four letters where few were found."""
+    base = union(capped(postings(q, "comp"), postings(t, "comp")), rarest(postings(q, "token"), postings(t, "token"), 2, 150), capped(postings(q, "locality_number"), postings(t, "locality_number"), 30))
+    return widened(base, capped(postings(q, "prefix4"), postings(t, "prefix4"), 250), under)
+
+
+def evaluation_candidates(q: DataFrame, t: DataFrame) -> DataFrame:
+    """Compressed name, every token that 400 targets have at most, every number that 250 have."""
+    return union(*(capped(postings(q, kind), postings(t, kind), cap) for kind, cap in (("comp", None), ("token", 400), ("number", 250))))
+
+
+def ranked_and_capped(pairs: DataFrame, most: int, score: str = "score") -> DataFrame:
+    """The ``most`` best pairs of each query by a cheap score, ties to the last target; all where there are no more."""
+    order = W.partitionBy("query_id").orderBy(F.desc(score), F.desc("target_id"))
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def tiered_candidates(q: DataFrame, t: DataFrame, rare: tuple[int, float] = (40, 0.01), hopeless: tuple[int, float] = (300, 0.05), postal: bool = False, postal_cap: int = 300) -> DataFrame:
     """Index with tiers: strong keys join; weak ones where two agree, or where nothing strong is found.
 
@@ -202,10 +228,10 @@ def gram_similarity(q: DataFrame, t: DataFrame, block: Column, text: Column, siz
 def two_pass_topk(q: DataFrame, t: DataFrame, k: int = 15, wide: int = 45, bonus: float = 0.5) -> DataFrame:
     """Grams within two kinds of block, the better score of the two, a bonus for a shared number, top k.
 
-    Blocks: country with the first letter of the sorted name, and with the first four letters of the name.
+    Blocks: country with the first letter of the sorted name, and with the first four letters of the name without spaces.
     """
     name = F.array_join("toks", " ")
-    passes = [gram_similarity(q, t, F.concat_ws("|", "country", b), name) for b in (F.substring(F.array_join(F.array_sort("toks"), " "), 1, 1), F.substring("core", 1, 4))]
+    passes = [gram_similarity(q, t, F.concat_ws("|", "country", b), name) for b in (F.substring(F.array_join(F.array_sort("toks"), " "), 1, 1), F.substring(F.replace(F.col("core"), F.lit(" "), F.lit("")), 1, 4))]
     best = top_k(passes[0].unionByName(passes[1]).groupBy("query_id", "target_id").agg(F.max("score").alias("score")), wide)
     both = best.join(q.select(F.col("id").alias("query_id"), F.col("nums").alias("qn")), "query_id").join(t.select(F.col("id").alias("target_id"), F.col("nums").alias("tn")), "target_id")
     scored = both.select("query_id", "target_id", F.col("score").alias("blocking_score"), (F.col("score") + F.when(F.arrays_overlap("qn", "tn"), bonus).otherwise(0.0)).alias("score"))
@@ -233,13 +259,22 @@ def every_pair(q: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def looked_up(pairs: DataFrame, q: DataFrame, t: DataFrame) -> DataFrame:
-    """The pairs with both records as structs q and t."""
+    """The pairs with both records as structs q and t.
+
+    Pairs are a few bytes and what is done with them is dear, so they are dealt to as many tasks as a shuffle has,
+    by query, before the records are looked up.
+    """
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     pack = lambda d, name: d.select(F.col("id").alias(f"{name}_id"), F.struct(*d.columns).alias(name[0]))
     return pairs.join(pack(q, "query"), "query_id").join(pack(t, "target"), "target_id")
 
 
 def labelled(pairs: DataFrame, truth: DataFrame, force: bool = False) -> DataFrame:
-    """The pairs with label 1 if true; with ``force`` the true ones that are missing too."""
-    own = pairs.unionByName(truth.select("query_id", "target_id").join(pairs, ["query_id", "target_id"], "left_anti"), allowMissingColumns=True) if force else pairs
+    """The pairs with label 1 if true; with ``force`` the true ones that are missing too, with numbers of 0."""
+    own = pairs
+    if force:
+        numbers = [f.name for f in pairs.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long")]
+        more = truth.select("query_id", "target_id").distinct().join(pairs, ["query_id", "target_id"], "left_anti")
+        own = pairs.unionByName(more.select("*", *(F.lit(0).cast(pairs.schema[n].dataType).alias(n) for n in numbers)), allowMissingColumns=True)
     marks = truth.select("query_id", "target_id").distinct().withColumn("label", F.lit(1))
     return own.join(marks, ["query_id", "target_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from linkloom.functions import similarity as S
+
 
 def _renumbered(rows: DataFrame, most: int | None, *order: str) -> DataFrame:
     own = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order, "target_id")))
@@ -36,7 +38,7 @@ def preferred(a: DataFrame, b: DataFrame, else_b: bool = False, recovered: Colum
     return _renumbered(out, most, "place")
 
 
-def ordered_union(a: DataFrame, b: DataFrame, most: int = 4, extra: Column | None = None) -> DataFrame:
+def ordered_union(a: DataFrame, b: DataFrame, most: int | None = 4, extra: Column | None = None) -> DataFrame:
     """a in its order, then of b what a lacks (and ``extra`` holds for), ``most`` in all."""
     more = b if extra is None else b.filter(extra)
     own = both(a, more).withColumn("side", F.col("ra").isNull().cast("int")).withColumn("place", F.coalesce("ra", "rb"))
@@ -84,13 +86,18 @@ def validated_consensus(a: DataFrame, b: DataFrame, judged: DataFrame) -> DataFr
 
 
 def recovering_consensus(a: DataFrame, b: DataFrame, judged: DataFrame) -> DataFrame:
-    """Unequal gates, and four rules by which b's candidates are recovered where a has none."""
-    typo = ~F.col("num_conflict") | ((F.col("street_sim") >= 80) & (F.col("core_sort") >= 65) & ~F.col("smart_conflict"))
-    named = F.when(F.col("t_no_addr"), (F.col("core_sort") >= 80) | ((F.col("shared") >= 2) & (F.greatest("core_sort", "core_set") >= 75)) | F.col("same_comp")).otherwise(True)
-    latin = ~F.col("t_latin") | (F.col("core_sort") >= 40) | (F.col("shared") > 0)
-    a = gated(a, judged, ~F.col("state_conflict") & typo)
-    b = gated(b, judged, state_and_smart() & named & latin)
-    return preferred(a, _marked(b, judged, recovery_wide()), True, F.col("good"), 4, 4)
+    """Unequal gates, and four rules by which b's candidates are recovered where a has none.
+
+    Numbers that differ are let pass on near streets and names where one is a part of the other; b asks for equal
+    postal codes besides, and takes two shared words for a near name.
+    """
+    col = F.col
+    part = lambda named: ~col("num_conflict") | ((col("street_sim") >= 80) & named & S.numbers_near("part", col("q.nums"), col("t.nums")))
+    named = F.when(col("t_no_addr"), (col("core_sort") >= 80) | ((col("shared") >= 2) & (F.greatest("core_sort", "core_set") >= 75)) | col("same_comp")).otherwise(True)
+    latin = ~col("t_latin") | (col("core_sort") >= 40) | (col("shared") > 0)
+    a = gated(a, judged, ~col("state_conflict") & part(col("core_sort") >= 65))
+    b = gated(b, judged, ~col("state_conflict") & ~col("post_conflict") & part((col("core_sort") >= 65) | (col("shared") >= 2)) & named & latin)
+    return preferred(a, _marked(b, judged, recovery_wide()), True, col("good"), 4, 4)
 
 
 def counters(a: DataFrame, b: DataFrame, judged: DataFrame, chosen: DataFrame, queries: DataFrame) -> DataFrame:
@@ -133,3 +140,11 @@ def differences(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, target_id, kind): pairs of one side only, fp or fn."""
     a, b = (x.select("query_id", "target_id") for x in (predicted, truth))
     return a.join(b, ["query_id", "target_id"], "left_anti").withColumn("kind", F.lit("fp")).unionByName(b.join(a, ["query_id", "target_id"], "left_anti").withColumn("kind", F.lit("fn")))
+
+
+def listed(chosen: DataFrame, candidates: DataFrame, most: int | None = 10) -> DataFrame:
+    """(query_id, target_id, rank): the matches in their order, then the candidates in theirs that are not among them, ``most`` in all.
+
+    Without ``most`` every match is in the list whatever its length.
+    """
+    return ordered_union(chosen, candidates, most)

@@ -5,11 +5,14 @@ Rows are pairs with structs q and t of records.feature_form() (blocking.looked_u
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from linkloom.functions import similarity as S
+from linkloom.functions import text as X
 
 NAME_15 = ("name_token_sort", "name_token_set", "name_partial", "name_jw", "name_core_jw", "name_core_sort", "name_core_set", "name_exact_core", "name_exact_comp", "name_len_ratio", "name_len_diff", "name_token_jaccard", "name_tok_overlap_cnt", "name_qgram3_jaccard", "used_alt_name")
 NAME_5 = ("name_soundex_jaccard", "name_initials_match", "name_partial_core", "name_leet_match", "name_comp_prefix_match")
@@ -47,16 +50,23 @@ def _flag(c: Column) -> Column:
     return F.when(c, 1.0).otherwise(0.0)
 
 
-def _registry(profile: str, empty: float) -> list[dict[str, Column]]:
-    """Features by name, in layers: a layer may use the names of those before it.
+def _registry(profile: str, empty: float, variants: bool = False) -> tuple[dict[str, tuple[str, Column, Column]], dict[str, Column], dict[str, Column]]:
+    """String metrics for S.measured() by name, then features by name, in layers: a layer may use the names of those before it.
 
-    ``empty`` is what conflicts are where an address is empty.
+    ``empty`` is what conflicts are where an address is empty. With ``variants`` names are as similar as their best variants.
     """
+    wanted: dict[str, tuple[str, Column, Column]] = {}
+
+    def ask(kind: str, x: Column, y: Column) -> Column:
+        name = f"metric{len(wanted)}_"
+        wanted[name] = kind, x, y
+        return F.col(name)
+
     q, t = (lambda f: F.col(f"q.n.{f}")), (lambda f: F.col(f"t.n.{f}"))
     a, b = (lambda f: F.col(f"q.a.{f}")), (lambda f: F.col(f"t.a.{f}"))
     end, scale = ("_blocks", 1.0) if profile == "blocks" else ("", 100.0)
     jw = "jaro_winkler" if profile == "blocks" else "jaro_winkler_above"
-    metric = lambda kind, x, y: S.similarity(kind + end, x, y) / scale
+    metric = lambda kind, x, y: ask(kind + end, x, y) / scale
     both = lambda x, y: (x != "") & (y != "")
     core = lambda c: F.when(both(q("core"), t("core")), c).otherwise(0.0)
     equal = lambda x, y: _flag(both(x, y) & (x == y))
@@ -65,7 +75,7 @@ def _registry(profile: str, empty: float) -> list[dict[str, Column]]:
     addr = lambda c, x=0.5: F.when(no_addr, x).otherwise(c)
     agree = lambda x, y: addr(F.when(both(x, y), _flag(x == y)).otherwise(0.5))
     differ = lambda x, y: addr(_flag(both(x, y) & (x != y)), empty)
-    lev = (lambda x, y: S.similarity("blocks", x, y)) if profile == "blocks" else S.levenshtein
+    lev = (lambda x, y: ask("blocks", x, y)) if profile == "blocks" else S.levenshtein
     house = S.house_similarity(a("house"), b("house"), ends=False)
     nums = lambda s: F.filter(F.col(f"{s}.a.tokens"), lambda w: w.rlike("^[0-9]+$"))
     shared = S.overlap(nums("q"), nums("t"))
@@ -74,7 +84,7 @@ def _registry(profile: str, empty: float) -> list[dict[str, Column]]:
     first = {
         "name_token_sort": metric("token_sort", q("full"), t("full")), "name_token_set": metric("token_set", q("full"), t("full")),
         "name_partial": metric("partial", q("full"), t("full")), "name_nospace_partial": metric("partial", flat(q("full")), flat(t("full"))),
-        "name_jw": S.similarity(jw, q("full"), t("full")), "name_core_jw": core(S.similarity(jw, q("core"), t("core"))),
+        "name_jw": ask(jw, q("full"), t("full")), "name_core_jw": core(ask(jw, q("core"), t("core"))),
         "name_core_sort": core(metric("token_sort", q("core"), t("core"))), "name_core_set": core(metric("token_set", q("core"), t("core"))),
         "name_partial_core": core(metric("partial", q("core"), t("core"))),
         "name_exact_core": equal(q("core"), t("core")), "name_exact_comp": equal(q("comp"), t("comp")),
@@ -87,9 +97,9 @@ def _registry(profile: str, empty: float) -> list[dict[str, Column]]:
         "name_abbreviation_match": _flag(both(q("initials"), t("initials")) & (q("initials") == t("initials")) & split),
         "name_levenshtein_ratio": F.when(both(q("full"), t("full")), lev(q("full"), t("full"))).otherwise(0.0), "name_levenshtein_core": core(lev(q("core"), t("core"))),
         "name_num_tok_match": F.when((F.size(q("num_tokens")) == 0) & (F.size(t("num_tokens")) == 0), 0.5).otherwise(_flag(q("num_tokens") == t("num_tokens"))),
-        "name_metaphone_sim": S.similarity("metaphone", F.substring_index(q("core"), " ", 1), F.substring_index(t("core"), " ", 1)),
+        "name_metaphone_sim": ask("metaphone", F.substring_index(q("core"), " ", 1), F.substring_index(t("core"), " ", 1)),
         "name_comp_len_ratio": ratio(F.length(q("comp")), F.length(t("comp"))), "name_is_short_both": _flag((F.length(q("comp")) <= 4) & (F.length(t("comp")) <= 4)),
-        "name_first_tok_match": equal(q("first"), t("first")), "name_last_tok_match": equal(q("last"), t("last")), "name_first_tok_jw": S.guarded(jw, q("first"), t("first")),
+        "name_first_tok_match": equal(q("first"), t("first")), "name_last_tok_match": equal(q("last"), t("last")), "name_first_tok_jw": ask(jw + "?", q("first"), t("first")),
         "num_match": _flag(shared), "num_match_signed": F.when(shared, 1.0).when((F.size(nums("q")) > 0) & (F.size(nums("t")) > 0), -0.5).otherwise(0.0),
         "addr_house_match": addr(house), "addr_house_conflict": addr(_flag(both(a("house"), b("house")) & (house == 0)), empty),
         "addr_state_match": agree(a("state"), b("state")), "addr_state_conflict": differ(a("state"), b("state")),
@@ -103,6 +113,9 @@ def _registry(profile: str, empty: float) -> list[dict[str, Column]]:
         "addr_target_empty": _flag(b("is_empty")), "addr_exact_full": addr(_flag(a("full") == b("full")), 0.0), "both_empty_address": _flag(a("is_empty") & b("is_empty")),
         "addr_tok_count_diff": addr(F.least(F.lit(1.0), F.abs(a("n_words") - b("n_words")) / 10), 0.0),
     }
+    if variants:
+        x, y = (F.concat_ws(S.VARIANT, *(s(f) for f in ("full", "core", "leet", "dba_alt"))) for s in (q, t))
+        first |= {f"name_{k}": ask(f"best_{k}", x, y) / 100.0 for k in ("token_sort", "token_set", "partial", "nospace_partial")} | {"used_alt_name": ask("best_is_alias", x, y)}
     f = F.col
     second = {
         "name_x_addr": f("name_token_sort") * f("addr_token_sort"), "core_x_addr_set": f("name_core_set") * f("addr_token_set"),
@@ -116,36 +129,49 @@ def _registry(profile: str, empty: float) -> list[dict[str, Column]]:
         "addr_city_state_combo": F.when((f("addr_city_match") == 1) & (f("addr_state_match") == 1), 1.0).when((f("addr_city_match") == 0) & (f("addr_state_match") == 0), 0.0).otherwise(0.5),
         "addr_state_postal_agree": F.when((f("addr_state_match") == 1) & (f("addr_postal_match") == 1), 1.0).when((f("addr_state_conflict") == 1) | (f("addr_postal_conflict") == 1), 0.0).otherwise(0.5),
     }
-    return [first, second]
+    return wanted, first, second
 
 
 def features(pairs: DataFrame, name: str = "P16") -> DataFrame:
     """(query_id, target_id, the features of a set): one projection, so each metric runs once a pair."""
     names, profile = SETS[name]
-    first, second = _registry(profile, 0.0 if name == "P7" else 0.5)
+    wanted, first, second = _registry(profile, 0.0 if name == "P7" else 0.5, name in ("P3", "P4"))
     base = [n for n in names if n in first]
     cross = [n for n in names if n in second]
     if cross:
         base = list(dict.fromkeys([*base, "name_token_sort", "addr_token_sort", "name_core_set", "addr_token_set", "name_jw", "addr_state_match", "addr_token_jaccard", "addr_state_conflict", "addr_postal_conflict", "addr_target_empty", "name_exact_core", "addr_house_conflict", "addr_postal_match", "name_core_sort", "name_len_diff", "addr_exact_full", "name_exact_comp", "addr_city_match"]))
+    used = {m for n in base for m in re.findall(r"metric[0-9]+_", str(first[n]))}
+    if used:
+        pairs = pairs.select("*", S.measured({m: wanted[m] for m in wanted if m in used}).alias("measured")).select("*", "measured.*")
     step = pairs.select("query_id", "target_id", *(first[n].alias(n) for n in base))
     return step.select("query_id", "target_id", *((second[n] if n in second else F.col(n)).alias(n) for n in names))
 
 
 def staged_features(pairs: DataFrame) -> DataFrame:
-    """The 20 features of the staged pipeline, on rule_form() structs, with the blocking score."""
+    """The 21 features of the staged pipeline, on rule_form() structs, with the blocking score.
+
+    A side that is written as a domain is compared with the other one's letters.
+    """
     q, t = (lambda f: F.col(f"q.{f}")), (lambda f: F.col(f"t.{f}"))
     one = lambda c: c.cast("int")
     lev = S.levenshtein
     words = F.size(F.array_union(q("toks"), t("toks")))
     common = F.size(F.array_intersect(q("toks"), t("toks")))
-    return pairs.select(
+    domain = X.domain_compact
+    letters = lambda x: F.regexp_replace(X.without_legal(x), "[^a-z0-9]", "")
+    mine = F.when(domain(q("name")) != "", domain(q("name"))).otherwise(letters(q("name")))
+    other = F.when((domain(q("name")) != "") | (domain(t("name")) == ""), letters(t("name"))).otherwise(domain(t("name")))
+    any_domain = (domain(q("name")) != "") | (domain(t("name")) != "")
+    both = S.measured({"sort": ("token_sort", q("core"), t("core")), "set": ("token_set", q("core"), t("core"))})
+    return pairs.select("*", both.alias("both")).select(
         "query_id", "target_id", F.col("blocking_score"), one(q("core") == t("core")).alias("exact_norm_match"), one(F.array_sort(q("toks")) == F.array_sort(t("toks"))).alias("exact_sorted_match"),
-        S.similarity("token_sort", q("core"), t("core")).alias("token_sort_ratio"), S.similarity("token_set", q("core"), t("core")).alias("token_set_ratio"), lev(q("core"), t("core")).alias("lev_ratio"),
+        F.col("both.sort").alias("token_sort_ratio"), F.col("both.set").alias("token_set_ratio"), lev(q("core"), t("core")).alias("lev_ratio"),
         *(S.gram_jaccard(q("core"), t("core"), n).alias(f"char{n}_jaccard") for n in (2, 3, 4)), F.abs(F.length(q("core")) - F.length(t("core"))).alias("len_char_diff"),
         F.abs(F.size(q("toks")) - F.size(t("toks"))).alias("len_token_diff"), common.alias("n_shared_tokens"), F.when(words > 0, common / words).otherwise(0.0).alias("token_overlap_ratio"),
         lev(q("nonum"), t("nonum")).alias("addr_text_lev_ratio"), one((F.size(q("nums")) > 0) & (q("nums") == t("nums"))).alias("addr_numbers_exact_match"),
         one(S.overlap(q("nums"), t("nums"))).alias("addr_numbers_any_overlap"), F.abs(F.size(q("nums")) - F.size(t("nums"))).alias("addr_numbers_count_diff"),
         one(q("country") == t("country")).alias("country_match"), one(q("latin") != t("latin")).alias("is_cross_script"),
+        F.when(any_domain, S.gram_jaccard(mine, other, 3)).otherwise(0.0).alias("domain_match_score"), one(any_domain).alias("has_domain_signal"),
     )
 
 

@@ -22,7 +22,7 @@ def rule_form(records: DataFrame) -> DataFrame:
         "id", "country", "name", "addr", X.compressed(F.col("name")).alias("comp"), core.alias("core"), X.tokens(core).alias("toks"),
         A.numbers(F.col("addr")).alias("nums"), A.postal_codes(F.col("raw_addr"), F.col("country")).alias("post"),
         A.first_postal(F.col("raw_addr"), F.col("country")).alias("zip"), A.street_numbers(F.col("raw_addr"), F.col("country")).alias("snums"),
-        A.state_code(F.col("raw_addr"), F.col("country")).alias("state"), A.street_words(F.col("addr")).alias("street"),
+        A.state_code(F.col("raw_addr"), F.col("country")).alias("state"), A.street_words(F.col("addr")).alias("street"), A.distinctive_words(F.col("addr")).alias("dwords"),
         A.without_digits(F.col("addr")).alias("nonum"), X.is_latin(F.col("raw_name")).alias("latin"),
         X.name_tokens(F.col("raw_name")).alias("ntoks"), A.mapped_tokens(F.col("raw_addr")).alias("atoks"),
     )

@@ -18,20 +18,27 @@ from linkloom.functions import similarity as S
 Branch = tuple[Column, Column, Column]
 
 
-def evidence(pairs: DataFrame) -> DataFrame:
-    """The pairs with similarities from 0 to 100 (0 if a side is empty), set similarities and conflicts."""
+def evidence(pairs: DataFrame, windows: bool = False) -> DataFrame:
+    """The pairs with similarities from 0 to 100 (0 if a side is empty), set similarities and conflicts.
+
+    With ``windows`` also name_partial, the best window of the longer name, which takes longer than all others.
+
+    String metrics come from one pass over Arrow batches; all else is built in.
+    """
     q, t = (lambda f: F.col(f"q.{f}")), (lambda f: F.col(f"t.{f}"))
-    step = pairs.select(
-        "*", S.guarded("token_sort", q("name"), t("name")).alias("name_sort"), S.guarded("token_set", q("name"), t("name")).alias("name_set"), S.guarded("partial", q("name"), t("name")).alias("name_partial"),
-        S.guarded("token_sort", q("core"), t("core")).alias("core_sort"), S.guarded("token_set", q("core"), t("core")).alias("core_set"),
-        S.guarded("token_sort", q("addr"), t("addr")).alias("addr_sort"), S.guarded("token_set", q("addr"), t("addr")).alias("addr_set"), S.guarded("token_set", q("nonum"), t("nonum")).alias("street_sim"),
+    kinds = {
+        "name_sort": ("token_sort", "name"), "name_set": ("token_set", "name"), "core_sort": ("token_sort", "core"), "core_set": ("token_set", "core"),
+        "addr_sort": ("token_sort", "addr"), "addr_set": ("token_set", "addr"), "street_sim": ("token_set", "nonum"),
+    } | ({"name_partial": ("partial", "name")} if windows else {})
+    step = pairs.select("*", S.measured({n: (kind + "?", q(f), t(f)) for n, (kind, f) in kinds.items()}).alias("measured"))
+    return step.select(
+        *pairs.columns, "measured.*",
         ((q("comp") != "") & (q("comp") == t("comp"))).alias("same_comp"), S.overlap(q("nums"), t("nums")).alias("num_agree"), S.plain_conflict(q("nums"), t("nums")).alias("num_conflict"),
         S.number_conflict(q("snums"), q("zip"), t("snums"), t("zip")).alias("smart_conflict"), S.plain_conflict(q("post"), t("post")).alias("post_conflict"),
         F.coalesce(q("state") != t("state"), F.lit(False)).alias("state_conflict"), F.size(F.array_intersect(q("toks"), t("toks"))).alias("shared"),
         (q("addr") == "").alias("q_no_addr"), (t("addr") == "").alias("t_no_addr"), t("latin").alias("t_latin"), (q("country") == "India").alias("india"),
         S.jaccard(q("ntoks"), t("ntoks")).alias("name_jac"), S.jaccard(q("atoks"), t("atoks")).alias("addr_jac"),
     )
-    return step
 
 
 c = F.col
@@ -138,9 +145,37 @@ def _precision() -> list[Branch]:
     ]
 
 
-def _typo_kept() -> Column:
+def _state_aware() -> list[Branch]:
+    """The branches of _precision() with a score for each, on which a pair falls through."""
+    return [(outer, inner, F.lit(float(score))) for (outer, inner, _), score in zip(_precision(), (100, 90, 85, 80, 78, 75), strict=True)]
+
+
+def _earlier() -> list[Branch]:
+    """The evaluator before it: higher floors, no branch of its own for targets without an address."""
+    core, addr, street, num, shared = _core(), _addr(), c("street_sim"), c("num_agree"), c("shared")
+    return [
+        (c("same_comp"), _no_addr() | (street >= 25) | num, F.lit(100.0)), (num & (addr >= 60) & (street >= 65), YES(), F.lit(90.0)),
+        ((addr >= 82) & (F.length("q.addr") > 20) & ((core >= 40) | (c("t.core") == "") | (shared >= 1)), YES(), F.lit(85.0)),
+        (core >= 82, F.when(_no_addr(), shared >= 1).otherwise((addr >= 25) | num | (street >= 45)), F.lit(80.0)),
+        ((core >= 65) & ((addr >= 50) | num | (street >= 65)), YES(), F.lit(75.0)),
+    ]
+
+
+def _typo_kept(kind: str = "typo", core: int = 65) -> Column:
     """Numbers that differ are let pass if they are a typo apart and names and streets are near."""
-    return ~c("num_conflict") | ((_core() >= 65) & (c("street_sim") >= 75) & S.number_typo(c("q.nums"), c("t.nums")))
+    return ~c("num_conflict") | ((_core() >= core) & (c("street_sim") >= 75) & S.numbers_near(kind, c("q.nums"), c("t.nums")))
+
+
+def letter_jaccard() -> Column:
+    """Of the addresses' words of two letters or more."""
+    words = lambda s: F.regexp_extract_all(F.col(f"{s}.addr"), F.lit(r"\b([a-z]{2,})\b"), 1)
+    return S.jaccard(words("q"), words("t"))
+
+
+def _token_model() -> list[Branch]:
+    """Core words and address words; the better of the two Jaccard similarities orders."""
+    a, n, num = letter_jaccard(), S.jaccard(c("q.toks"), c("t.toks")), c("num_agree")
+    return [((a >= 0.5) | (num & (a >= 0.28)) | (n >= 0.7) | ((a >= 0.35) & (n >= 0.35)), YES(), F.greatest(n, a))]
 
 
 def _resolver(exact=(20, 60), script=(60, 55), street=(68, 40, 101), high=(85, 30), both=(70, 75)) -> Callable[[], list[Branch]]:
@@ -183,12 +218,20 @@ LADDERS: dict[str, tuple[Callable[[], list[Branch]], Callable[[], Column], int |
     "R9": (_pseudo_probability, lambda: ~c("post_conflict"), 4, True),
     "R10": (_calibrated, lambda: ~c("post_conflict"), 4, True),
     "R11": (_precision, lambda: ~c("state_conflict") & ~c("post_conflict") & _typo_kept(), 4, True),
-    "R12": (_precision, lambda: ~c("state_conflict") & ~c("post_conflict") & _typo_kept(), 4, False),
-    "R13": (_precision, lambda: ~c("post_conflict") & _typo_kept(), 4, False),
+    "R12": (_state_aware, lambda: ~c("state_conflict") & _typo_kept(), 4, False),
+    "R13": (_earlier, lambda: _typo_kept("near_typo", 75), 4, False),
     "R14": (_resolver(), _smart, 4, True),
     "R15": (_seven, _smart, 4, True),
     "R16": (_resolver((15, 45), (50, 45), (55, 35, 101), (80, 25), (65, 65)), _smart, 4, True),
-    "R17": (_resolver((20, 50), (60, 55), (65, 40, 101), (85, 30), (72, 75)), _smart, 4, True),
+    "R17": (_resolver((20, 50), (60, 55), (65, 40, 101), (85, 30), (72, 75)), _smart, 5, True),
+    "R17a": (_token_model, _smart, 5, True),
+}
+#: What orders matches besides score and target, the best first: further similarities, then targets from the last.
+ORDERS: dict[str, Callable[[], list[Column]]] = {
+    "R14": lambda: [F.desc("score"), F.desc("core_sort"), F.desc("target_id")],
+    "R15": lambda: [F.desc("score"), F.greatest("core_sort", "street_sim").desc(), F.desc("target_id")],
+    "R17": lambda: [F.desc("core_sort"), F.desc("target_id")],
+    "R17a": lambda: [F.desc("score"), F.desc("target_id")],
 }
 
 
@@ -198,26 +241,41 @@ def tuned(street: int | Column, core: int | Column, high: int | Column) -> tuple
 
 
 def judged(pairs: DataFrame, name: str | tuple = "R11") -> DataFrame:
-    """The evidence with score (null: gated or no branch) and is_match."""
+    """The evidence with score (null: gated or no branch), is_match and passes (the gate)."""
     ladder, gate, _, final = LADDERS[name] if isinstance(name, str) else name
     score = F.lit(None).cast("double")
     for outer, inner, value in reversed(ladder()):
         score = F.when(outer & inner, value).when(outer, None).otherwise(score) if final else F.when(outer & inner, value).otherwise(score)
-    return pairs.withColumn("score", F.when(gate(), score)).withColumn("is_match", F.col("score").isNotNull())
+    return pairs.withColumn("passes", gate()).withColumn("score", F.when(F.col("passes"), score)).withColumn("is_match", F.col("score").isNotNull())
 
 
-def matches(judged_pairs: DataFrame, most: int | None = 4) -> DataFrame:
-    """(query_id, target_id, score, rank) of the matches, the best ``most`` of each query."""
-    ranked = judged_pairs.filter("is_match").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "target_id")))
+def matches(judged_pairs: DataFrame, most: int | None = 4, order: list[Column] | None = None) -> DataFrame:
+    """(query_id, target_id, score, rank) of the matches, the best ``most`` of each query; by score and target, or by ``order``."""
+    by = order or [F.desc("score"), F.asc("target_id")]
+    ranked = judged_pairs.filter("is_match").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*by)))
     own = ranked if most is None else ranked.filter(F.col("rank") <= most)
     return own.select("query_id", "target_id", "score", "rank")
 
 
+def by_ladder(evidence_: DataFrame, name: str) -> DataFrame:
+    """matches() of a ladder, in its own order."""
+    return matches(judged(evidence_, name), LADDERS[name][2], ORDERS[name]() if name in ORDERS else None)
+
+
 def kept_candidates(judged_pairs: DataFrame, most: int = 12) -> DataFrame:
-    """Matches first, then the other candidates by half the name and half the address similarity."""
-    fill = F.coalesce("score", 0.5 * c("name_sort") + 0.5 * c("addr_sort"))
-    order = W.partitionBy("query_id").orderBy(F.desc("is_match"), F.desc(fill), "target_id")
-    return judged_pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "target_id", "is_match", "rank")
+    """The best pairs that pass the gate: by score, others by half the core name and half the address similarity."""
+    fill = F.coalesce("score", 0.5 * _core() + 0.5 * _addr())
+    ranked = judged_pairs.filter("passes").withColumn("fill", fill)
+    order = W.partitionBy("query_id").orderBy(F.desc("fill"), "target_id")
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "target_id", "is_match", "fill", "rank")
+
+
+def filled_candidates(judged_pairs: DataFrame, most: int = 6) -> DataFrame:
+    """Matches first, then the others by 0.6 of the name and 0.4 of the address Jaccard similarity."""
+    fill = F.coalesce("score", c("name_jac") * 0.6 + c("addr_jac") * 0.4)
+    ranked = judged_pairs.withColumn("fill", fill)
+    order = W.partitionBy("query_id").orderBy(F.desc("is_match"), F.desc("fill"), "target_id")
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("query_id", "target_id", "is_match", "fill", "rank")
 
 
 def miss_reasons(true_pairs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from linkloom.functions import constants as K
 from linkloom.functions import similarity as S
 from linkloom.functions import text as X
 from linkloom.operators import blocking, consensus, decide, features, learn, metrics, records, rules
+from linkloom.plans import ladder_sql as L
 from linkloom.plans.views import SQL as VIEWS
 from linkloom.plans.views import view
 from linkloom.sources import tables
@@ -119,11 +120,21 @@ _RUNS = [*_EVID, _R1, _R2]
 _BOTH = "b AS (SELECT query_id, target_id, a.rank AS ra, b.rank AS rb FROM run_a a FULL JOIN run_b b USING (query_id, target_id))"
 
 
+_EV = [*_CAND, *L.EVIDENCE]
+_IDS = "ids AS (SELECT entity_id AS query_id FROM s1)"
+_TWO = [*_EV, L.run("R8", "run_1"), L.run("R11", "run_2")]
+
+
 # --- the same as DataFrames --------------------------------------------------------------------------
 
 
 def forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return records.rule_form(view(spark, sf_dir, "s1")), records.rule_form(view(spark, sf_dir, "tgt"))
+    """Queries and targets in the form that rules read, made once for all keys that they are joined by."""
+    return tuple(tables.staged(records.rule_form(view(spark, sf_dir, v)), v) for v in ("s1", "tgt"))
+
+
+def feature_forms_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(tables.staged(records.feature_form(view(spark, sf_dir, v)), v) for v in ("s1", "tgt"))
 
 
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +299,7 @@ def block_jaccard_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.prefix_filtered(blocking.postings(q, "name_token"), blocking.postings(t, "name_token"))
 
 
-@query("block_two_tokens")
+@query("block_two_tokens", _with(*(x for k, v in (("a", "atoks"), ("n", "ntoks")) for x in (*_postings(k, v), _ranked(k, "JOIN"), f"c_{k} AS (SELECT DISTINCT a.id AS query_id, b.id AS target_id FROM rk_{k} a JOIN tk_{k} b USING (country, key) WHERE rank <= 2 AND a.df <= 300)"))) + "SELECT * FROM c_a UNION SELECT * FROM c_n")
 def block_two_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rarest address tokens and rarest name tokens."""
     q, t = forms(spark, sf_dir)
@@ -301,11 +312,36 @@ def block_first_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.first_frequent(blocking.postings(q, "address_token"), blocking.postings(t, "address_token"))
 
 
-@query("block_staged")
+_DWORDS = f"list_filter(string_split({_squeeze("regexp_replace(addr, '[^a-z0-9_" + chr(92) + "s]', ' ', 'g')")}, ' '), lambda w: length(w) >= 3 AND w NOT IN {_in((*K.STOPWORDS, *K.GENERIC_ADDRESS))})"
+_KEYED = lambda n, a, b, cap: [f"qk_{n} AS (SELECT DISTINCT country, id, unnest({a}) AS key FROM q)", f"tk_{n} AS (SELECT DISTINCT country, id, unnest({b}) AS key FROM t)", f"df_{n} AS (SELECT country, key, count(*) AS df FROM tk_{n} GROUP BY ALL)", f"c_{n} AS (SELECT DISTINCT a.id AS query_id, b.id AS target_id FROM qk_{n} a JOIN tk_{n} b USING (country, key) JOIN df_{n} USING (country, key) WHERE df <= {cap})"]
+_RAREST = lambda k, cap: [*_postings("token", "toks"), _ranked("token"), f"c_token AS (SELECT DISTINCT a.id AS query_id, b.id AS target_id FROM rk_token a JOIN tk_token b USING (country, key) WHERE a.rank <= {k} AND a.df <= {cap})"]
+_MORE = lambda n, found, more, under: f"{n} AS (SELECT * FROM {found} UNION SELECT * FROM {more} WHERE query_id NOT IN (SELECT query_id FROM {found} GROUP BY query_id HAVING count(*) >= {under}))"
+_PRE = lambda n, least: f"CASE WHEN length(comp) >= {least} THEN [comp[1:{n}]] ELSE [] END"
+
+
+@query(
+    "block_staged",
+    _with(*_COMP, *_RAREST(4, 500), *_KEYED("dn", _PAIR.format(a=f"list_slice({_DWORDS}, 1, 3)", b="list_slice(nums, 1, 2)"), _PAIR.format(a=_DWORDS, b="nums"), 100), *_KEYED("dw", f"list_slice({_DWORDS}, 1, 2)", _DWORDS, 60), *_KEYED("p5", _PRE(5, 4), _PRE(5, 4), 300),
+          "b0 AS MATERIALIZED (SELECT * FROM c_comp UNION SELECT * FROM c_token UNION SELECT * FROM c_dn)", _MORE("b1", "b0", "c_dw", 200), _MORE("b2", "b1", "c_p5", 200)) + "SELECT * FROM b2",
+)
 def block_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.staged_candidates(*forms(spark, sf_dir))
 
 
+@query(
+    "block_locality",
+    _with(*_COMP, *_RAREST(2, 150), *_KEYED("ln", _PAIR.format(a=f"list_filter(list_slice(string_split(addr, ' '), 1, 4), lambda w: length(w) > 3 AND w NOT IN {_in(K.GENERIC_LOCALITY)})", b="list_slice(nums, 1, 2)"), _PAIR.format(a=f"list_filter(list_slice(string_split(addr, ' '), 1, 4), lambda w: length(w) > 3 AND w NOT IN {_in(K.GENERIC_LOCALITY)})", b="list_slice(nums, 1, 2)"), 30), *_KEYED("p4", _PRE(4, 4), _PRE(4, 4), 250),
+          "b0 AS MATERIALIZED (SELECT * FROM c_comp UNION SELECT * FROM c_token UNION SELECT * FROM c_ln)", _MORE("b1", "b0", "c_p4", 150)) + "SELECT * FROM b1",
+)
+def block_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.locality_candidates(*forms(spark, sf_dir))
+
+
+@query("block_evaluation", _with(*_COMP, *_KEYED("tk", "toks", "toks", 400), *_KEYED("nu", "nums", "nums", 250)) + "SELECT * FROM c_comp UNION SELECT * FROM c_tk UNION SELECT * FROM c_nu")
+def block_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.evaluation_candidates(*forms(spark, sf_dir))
+
+
 @query("block_soundex")
 def block_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = (d.withColumn("codes", X.soundex_codes(F.col("toks"), True)) for d in forms(spark, sf_dir))
@@ -314,7 +350,7 @@ def block_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("block_tiered")
 def block_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = (records.feature_form(view(spark, sf_dir, v)) for v in ("s1", "tgt"))
+    q, t = feature_forms_of(spark, sf_dir)
     return blocking.tiered_candidates(q, t, postal=True)
 
 
@@ -340,9 +376,16 @@ def string_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("query_id", "target_id", S.levenshtein(F.col("q.name"), F.col("t.name")).alias("lev"), F.round(S.similarity("jaro_winkler_above", F.col("q.name"), F.col("t.name")), 9).alias("jw"), S.plain_conflict(F.col("q.nums"), F.col("t.nums")).alias("conflict"))
 
 
-@query("evidence")
+@query("evidence", _with(*_EV) + f"SELECT query_id, target_id, {L.PUBLIC} FROM ev")
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evidence(pairs(spark, sf_dir)).drop("q", "t")
+    own = rules.evidence(pairs(spark, sf_dir)).drop("q", "t")
+    return own.withColumn("shared", F.col("shared").cast("bigint"))
+
+
+@query("name_windows")
+def name_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of the longer name against the shorter one."""
+    return rules.evidence(pairs(spark, sf_dir), True).select("query_id", "target_id", "name_partial")
 
 
 @query("group_features", _with(*_EVID) + """SELECT query_id, target_id, p, rank AS rank_in_query, best AS query_max, round(avg(p) OVER w, 9) AS query_mean, round(coalesce(stddev_samp(p) OVER w, 0), 9) AS query_std, count(*) OVER w AS query_count,
@@ -359,7 +402,7 @@ def staged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = (records.feature_form(view(spark, sf_dir, v)) for v in ("s1", "tgt"))
+    q, t = feature_forms_of(spark, sf_dir)
     return blocking.looked_up(candidates(spark, sf_dir), q, t)
 
 
@@ -376,15 +419,33 @@ def hard_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("rule_R1", _with(*_RUNS) + "SELECT * FROM run_a")(lambda s, d: run_a(s, d).select("query_id", "target_id", *_long("rank")))
 query("rule_R2", _with(*_RUNS) + "SELECT * FROM run_b")(lambda s, d: run_b(s, d).select("query_id", "target_id", *_long("rank")))
 for _r in list(rules.LADDERS)[2:]:
-    query(f"rule_{_r}")(lambda s, d, r=_r: rules.matches(rules.judged(rules.evidence(pairs(s, d)), r), rules.LADDERS[r][2]))
+    query(f"rule_{_r}", _with(*_EV, L.run(_r, "run")) + "SELECT * FROM run" if _r in L.LADDERS else None)(lambda s, d, r=_r: rules.by_ladder(rules.evidence(pairs(s, d), r == "R7"), r).select("query_id", "target_id", "score", *_long("rank")))
+
+_FILLED = "SELECT query_id, target_id, score IS NOT NULL AS is_match, fill, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM (SELECT *, coalesce(score, {fill}) AS fill FROM (SELECT *, {score} AS score FROM ev){where})) WHERE rank <= {most}"
 
 
-@query("kept_candidates")
+@query("kept_candidates", _with(*_EV) + _FILLED.format(order="fill DESC, target_id", fill="0.5::DOUBLE * core + 0.5::DOUBLE * addr", score=L.score("R11"), where=f" WHERE {L.LADDERS['R11'][1]}", most=12))
 def kept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.kept_candidates(rules.judged(rules.evidence(pairs(spark, sf_dir)), "R11"))
+    own = rules.kept_candidates(rules.judged(rules.evidence(pairs(spark, sf_dir)), "R11"))
+    return own.select("query_id", "target_id", "is_match", "fill", *_long("rank"))
+
 
+@query("filled_candidates", _with(*_EV) + _FILLED.format(order="score IS NULL, fill DESC, target_id", fill="name_jac * 0.6::DOUBLE + addr_jac * 0.4::DOUBLE", score=L.score("R5"), where="", most=6))
+def filled_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = rules.filled_candidates(rules.judged(rules.evidence(pairs(spark, sf_dir)), "R5"))
+    return own.select("query_id", "target_id", "is_match", "fill", *_long("rank"))
 
-@query("miss_reasons")
+
+@query("ranked_and_capped", _with(*_EV) + "SELECT * FROM (SELECT query_id, target_id, name_set, row_number() OVER (PARTITION BY query_id ORDER BY name_set DESC, target_id DESC) AS rank FROM ev) WHERE rank <= 40")
+def ranked_and_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = blocking.ranked_and_capped(rules.evidence(pairs(spark, sf_dir)), 40, "name_set")
+    return own.select("query_id", "target_id", "name_set", *_long("rank"))
+
+
+_MISS = "CASE WHEN state_conflict THEN 'state_conflict' WHEN smart_conflict THEN 'number_conflict' WHEN core_sort < 40 AND NOT same_comp THEN 'low_core_name_sim' WHEN NOT num_agree AND street_sim < 60 THEN 'low_street_sim' ELSE 'other_threshold' END"
+
+
+@query("miss_reasons", _with("cand AS (SELECT * FROM truth)", *L.EVIDENCE) + f"SELECT {_MISS} AS reason, count(*) AS n FROM (SELECT *, {L.score('R17')} AS score FROM ev) WHERE score IS NULL GROUP BY ALL")
 def miss_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = forms(spark, sf_dir)
     return rules.miss_reasons(rules.evidence(blocking.looked_up(view(spark, sf_dir, "truth"), q, t)))
@@ -433,6 +494,8 @@ _KEEP = "(level = 3 AND ra IS NOT NULL AND rb IS NOT NULL) OR (level = 2 AND ra
 query("consensus_else_first", _with(*_RUNS, _BOTH, _LEVEL) + f"SELECT * FROM ({_SEL.format(o='coalesce(ra, rb)', f=f'l WHERE {_KEEP}')}) WHERE rank <= 4")(_run(consensus.preferred))
 query("consensus_else_second", _with(*_RUNS, _BOTH, _LEVEL) + f"SELECT * FROM ({_SEL.format(o='coalesce(ra, rb)', f=f'l WHERE {_KEEP} OR level = 1')}) WHERE rank <= 4")(_run(lambda a, b: consensus.preferred(a, b, True)))
 query("consensus_union", _with(*_RUNS, _BOTH) + f"SELECT * FROM ({_SEL.format(o='ra IS NULL, coalesce(ra, rb)', f='b')}) WHERE rank <= 4")(_run(consensus.ordered_union))
+query("consensus_list", _with(*_RUNS, _BOTH) + f"SELECT * FROM ({_SEL.format(o='ra IS NULL, coalesce(ra, rb)', f='b')}) WHERE rank <= 10")(_run(consensus.listed))
+query("consensus_list_whole", _with(*_RUNS, _BOTH) + _SEL.format(o="ra IS NULL, coalesce(ra, rb)", f="b"))(_run(lambda a, b: consensus.listed(a, b, None)))
 query("consensus_majority", _with(*_RUNS, "run_c AS (SELECT query_id, target_id, rank FROM ranked WHERE rank <= 2)", "v AS (SELECT query_id, target_id, count(*) AS votes, min({'run': run, 'rank': rank}) AS seen FROM (SELECT *, 0 AS run FROM run_a UNION ALL SELECT *, 1 FROM run_b UNION ALL SELECT *, 2 FROM run_c) GROUP BY ALL)") + "SELECT query_id, target_id, votes, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, seen, target_id) AS rank FROM v WHERE votes >= 1")(lambda s, d: consensus.majority([run_a(s, d), run_b(s, d), decide.top_k(scored(s, d), 2)]).select("query_id", "target_id", "votes", *_long("rank")))
 query("consensus_agreement", _with(*_RUNS) + "SELECT count(*) AS queries, avg(CASE WHEN coalesce(x, []) = coalesce(y, []) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS equal_rate FROM ids LEFT JOIN (SELECT query_id, list(target_id ORDER BY target_id) AS x FROM run_a GROUP BY query_id) USING (query_id) LEFT JOIN (SELECT query_id, list(target_id ORDER BY target_id) AS y FROM run_b GROUP BY query_id) USING (query_id)")(lambda s, d: consensus.agreement(run_a(s, d), run_b(s, d), ids(s, d)))
 query("consensus_fullest", _with(*_RUNS) + "SELECT * FROM (SELECT count(DISTINCT query_id) AS matched, 'a' AS run FROM run_a UNION ALL SELECT count(DISTINCT query_id), 'b' FROM run_b) ORDER BY matched DESC, run LIMIT 1")(lambda s, d: consensus.fullest({"a": run_a(s, d), "b": run_b(s, d)}))
@@ -440,15 +503,21 @@ query("consensus_differences", _with(*_RUNS) + "SELECT a.query_id, a.target_id,
 
 
 def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    judged = rules.evidence(pairs(spark, sf_dir)).cache()  # read by each gate, ladder and recovery rule
-    return *(rules.matches(rules.judged(judged, r)).drop("score") for r in ("R8", "R11")), judged
+    own = tables.staged(rules.evidence(pairs(spark, sf_dir)), "evidence")  # read by each gate, ladder and recovery rule
+    return *(rules.by_ladder(own, r).drop("score") for r in ("R8", "R11")), own
 
 
+_ranks = lambda d: d.select("query_id", "target_id", *_long("rank"))
 for _n, _f in (("clean", consensus.clean_consensus), ("validated", consensus.validated_consensus), ("recovering", consensus.recovering_consensus)):
-    query(f"consensus_{_n}")(lambda s, d, f=_f: f(*_three(s, d)))
-query("consensus_calibrated")(lambda s, d: (lambda a, b, j: consensus.ordered_union(a, b.join(j.select("query_id", "target_id", "same_comp", "core_sort"), ["query_id", "target_id"]), 4, F.col("same_comp") | (F.col("core_sort") >= 40)))(*_three(s, d)))
-query("consensus_exact_or_script")(lambda s, d: (lambda a, b, j: consensus.ordered_union(a, b.join(j.select("query_id", "target_id", "same_comp", "t_latin", "india"), ["query_id", "target_id"]), 5, F.col("same_comp") | (~F.col("t_latin") & F.col("india"))))(*_three(s, d)))
-query("consensus_counters")(lambda s, d: (lambda a, b, j: consensus.counters(a, b, j, consensus.validated_consensus(a, b, j), ids(s, d)))(*_three(s, d)))
+    query(f"consensus_{_n}", _with(*_TWO, *L.preferred(_n)) + "SELECT * FROM chosen")(lambda s, d, f=_f: _ranks(f(*_three(s, d))))
+_EXTRA = lambda ok, most: _with(*_TWO, f"extra AS (SELECT query_id, target_id, rank AS rb FROM run_2 JOIN ev USING (query_id, target_id) WHERE {ok})", "u AS (SELECT query_id, target_id, r.rank AS ra, rb FROM run_1 r FULL JOIN extra USING (query_id, target_id))") + f"SELECT * FROM ({_SEL.format(o='ra IS NULL, coalesce(ra, rb)', f='u')}) WHERE rank <= {most}"
+query("consensus_calibrated", _EXTRA("same_comp OR core_sort >= 40", 4))(lambda s, d: _ranks((lambda a, b, j: consensus.ordered_union(a, b.join(j.select("query_id", "target_id", "same_comp", "core_sort"), ["query_id", "target_id"]), 4, F.col("same_comp") | (F.col("core_sort") >= 40)))(*_three(s, d))))
+query("consensus_exact_or_script", _EXTRA("same_comp OR (NOT t_latin AND india)", 5))(lambda s, d: _ranks((lambda a, b, j: consensus.ordered_union(a, b.join(j.select("query_id", "target_id", "same_comp", "t_latin", "india"), ["query_id", "target_id"]), 5, F.col("same_comp") | (~F.col("t_latin") & F.col("india"))))(*_three(s, d))))
+query(
+    "consensus_counters",
+    _with(*_TWO, *L.preferred("validated"), _IDS, "every AS (SELECT query_id, target_id FROM run_1 UNION ALL SELECT query_id, target_id FROM run_2)")
+    + "SELECT (SELECT sum(state_conflict::INT)::BIGINT FROM every JOIN ev USING (query_id, target_id)) AS rejected_states, (SELECT sum((NOT state_conflict AND smart_conflict)::INT)::BIGINT FROM every JOIN ev USING (query_id, target_id)) AS rejected_conflicts, (SELECT count(*) FROM ids WHERE query_id NOT IN (SELECT query_id FROM chosen)) AS singletons, (SELECT count(*) FROM chosen) AS matches",
+)(lambda s, d: (lambda a, b, j: consensus.counters(a, b, j, consensus.validated_consensus(a, b, j), ids(s, d)))(*_three(s, d)))
 
 _COUNTS = [
     "m AS (SELECT query_id, sum(p * t) AS tp, sum(p * (1 - t)) AS fp, sum(t * (1 - p)) AS fn FROM (SELECT query_id, target_id, coalesce(p, 0) AS p, coalesce(t, 0) AS t FROM (SELECT query_id, target_id, 1 AS p FROM run_a) FULL JOIN (SELECT query_id, target_id, 1 AS t FROM truth) USING (query_id, target_id)) GROUP BY query_id)",
@@ -498,7 +567,7 @@ query("scan_wanted", _with(*_RUNS) + "SELECT tgt.* FROM tgt WHERE entity_id IN (
 def learned_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tree models on the canonical features, blended; base and sibling thresholds; every query."""
     truth, names = view(spark, sf_dir, "truth"), features.SETS["P16"][0]
-    rows = blocking.labelled(features.features(_feature_pairs(spark, sf_dir), "P16"), truth).fillna(0.0).cache()
+    rows = blocking.labelled(features.features(_feature_pairs(spark, sf_dir), "P16"), truth).fillna(0.0)
     train = learn.weighted(learn.split(rows))
     models = [learn.boosted(names).fit(train), learn.forest(names).fit(train.filter("NOT is_validation"))]
     p = consensus.blended(*((learn.scored(m, rows), w) for m, w in zip(models, (0.55, 0.45), strict=True)))

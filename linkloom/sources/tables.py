@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -130,3 +132,22 @@ def report(statistics: DataFrame) -> str:
     rows = statistics.limit(1000).collect()
     line = lambda xs: "| " + " | ".join(map(str, xs)) + " |"
     return "\n".join([line(statistics.columns), line("-" * 3 for _ in statistics.columns), *(line(r) for r in rows)])
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet and read back: what several joins read is made once, and a lost executor costs one stage.
+
+    It lies in the folder that driver and executors share, ``spark.checkpoint.dir``; where the session names none
+    and runs on one machine, in a temporary one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
+        at = context.getCheckpointDir()
+    path = f"{at.rstrip('/')}/linkloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ from linkloom.plans import registry
 from linkloom.sources import tables
 from linkloom.streaming import scoring
 
-QUICK = ("link_names", "name_forms", "address_forms", "token_frequency", "pool_size", "leet_by_frequency", "block_rarest", "block_places", "block_jaccard_prefix", "set_evidence", "rule_R2", "decide_closed_form", "consensus_else_second", "metric_macro", "metric_grid", "sink_matches")
+QUICK = ("link_names", "name_forms", "address_forms", "token_frequency", "pool_size", "leet_by_frequency", "block_rarest", "block_places", "block_jaccard_prefix", "set_evidence", "rule_R2", "decide_closed_form", "consensus_else_second", "metric_macro", "metric_grid", "sink_matches", "rule_R11", "rule_R13", "rule_R15", "rule_R17", "kept_candidates", "consensus_recovering", "block_staged", "block_locality")
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -56,7 +56,7 @@ def test_names(spark):
     assert one(spark, X.script(F.col("n")), n="नमस्ते ab") == "devanagari"
     assert one(spark, X.any_script(F.col("n")), n="नमस्ते Café") == "namaste Cafe"
     assert one(spark, X.is_latin(F.col("n")), n="Été") and not one(spark, X.is_latin(F.col("n")), n="ক")
-    assert one(spark, X.domain_compact(F.col("n")), n="www.big-shop.co.in") == "bigshop"
+    assert one(spark, X.domain_compact(F.col("n")), n="www.big-shop.co.in") == "wwwbigshopco" and one(spark, X.domain_compact(F.col("n")), n="big shop") == ""
     assert one(spark, X.digits_for_words(F.col("n")), n="first one of seven") == "1 1 of 7"
     assert X.kernel_soundex_of("ashcraft") == "A226" and X.metaphone_of("knight") == X.metaphone_of("night")
 
@@ -165,15 +165,56 @@ def test_ladder_and_consensus(spark):
     rows = [("S1", "Acme Tools LLC", "12 Oak Street", "US"), ("T1", "acme tools", "12 Oak Street", "US"), ("T2", "Acme Tools Inc", "99 Elm Road", "US"), ("T3", "Zeta", "12 Oak Street", "US")]
     d = records.rule_form(spark.createDataFrame(rows, tables.RECORD))
     q, t = d.filter("id LIKE 'S%'"), d.filter("id LIKE 'T%'")
-    own = rules.evidence(blocking.looked_up(blocking.every_pair(q, t), q, t))
-    found = {r: {x.target_id for x in rules.matches(rules.judged(own, r), v[2]).collect()} for r, v in rules.LADDERS.items()}
-    assert all("T1" in x for x in found.values()) and all("T2" not in found[r] for r in ("R8", "R11", "R14"))
+    own = rules.evidence(blocking.looked_up(blocking.every_pair(q, t), q, t), True)
+    found = {r: {x.target_id for x in rules.by_ladder(own, r).collect()} for r in rules.LADDERS}
+    assert all("T1" in x for x in found.values()) and all("T2" not in found[r] for r in ("R8", "R11", "R12", "R14"))
     runs = [spark.createDataFrame(x, "query_id string, target_id string, rank int") for x in ([("S1", "T1", 1)], [("S1", "T3", 1), ("S1", "T1", 2)], [("S1", "T3", 1)])]
     assert [r.target_id for r in consensus.ordered_union(runs[0], runs[1]).orderBy("rank").collect()] == ["T1", "T3"]
     assert [(r.target_id, r.votes) for r in consensus.majority(runs).orderBy("rank").collect()] == [("T1", 2), ("T3", 2)]
     assert consensus.validated_consensus(runs[0].limit(0), runs[1], own).count() >= 1
 
 
+def test_best_of_variants(spark):
+    """P3 against the loop over variants, with aliases and decoded names; the domain features of a staged pair."""
+    rows = [("S1", "Smart Tools LLC", "12 Oak St", "US"), ("S2", "Acme Foods DBA: Tasty Bread", "1 Elm St", "US"), ("S3", "moorebitwise.com", "1 Elm St", "US"),
+            ("T1", "5mart tools", "12 Oak St", "US"), ("T2", "tasty bread", "1 Elm St", "US"), ("T3", "Moore Bitwise Inc", "1 Elm St", "US")]
+    raw = spark.createDataFrame(rows, tables.RECORD)
+    d = records.feature_form(raw)
+    q, t = d.filter("id LIKE 'S%'"), d.filter("id LIKE 'T%'")
+    own = blocking.looked_up(blocking.every_pair(q, t), q, t)
+    names = {r.id: r.n for r in d.collect()}
+    for r in features.features(own, "P3").collect():
+        best, used = [0.0] * 4, 0
+        variants = lambda n: list({v: k for k, v in reversed([(k, n[k]) for k in ("full", "core", "leet", "dba_alt")]) if v}.items())[::-1]
+        for x, kx in variants(names[r.query_id]):
+            for y, ky in variants(names[r.target_id]):
+                m = [S.token_sort(x, y), S.token_set(x, y), S.partial(x, y), S.partial(x.replace(" ", ""), y.replace(" ", ""))]
+                if max(m) > max(best):
+                    used = int("dba_alt" in (kx, ky))
+                best = [max(p) for p in zip(best, m, strict=True)]
+        got = (r.name_token_sort, r.name_token_set, r.name_partial, r.name_nospace_partial, r.used_alt_name)
+        assert got == pytest.approx((*(b / 100 for b in best), used))
+    plain = {(r.query_id, r.target_id): r for r in features.features(own, "P7").collect()}
+    best = {(r.query_id, r.target_id): r for r in features.features(own, "P3").collect()}
+    assert best["S2", "T2"].name_token_sort == 1 > plain["S2", "T2"].name_token_sort and best["S2", "T2"].used_alt_name == 1
+    r = records.rule_form(raw)
+    staged = features.staged_features(blocking.looked_up(blocking.every_pair(r.filter("id LIKE 'S%'"), r.filter("id LIKE 'T%'")), r, r).withColumn("blocking_score", F.lit(0.0)))
+    got = {(x.query_id, x.target_id): x for x in staged.collect()}
+    assert got["S3", "T3"].domain_match_score == 1 and got["S3", "T3"].has_domain_signal == 1 and got["S1", "T1"].has_domain_signal == 0
+    forced = blocking.labelled(spark.createDataFrame([("a", "x", 0.5)], "query_id string, target_id string, score double"), spark.createDataFrame([("a", "y")], "query_id string, target_id string"), True)
+    assert sorted((x.target_id, x.score, x.label) for x in forced.collect()) == [("x", 0.5, 0), ("y", 0.0, 1)]
+
+
+def test_partial_windows_are_all_windows():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = sorted(("".join(r.choice("abc d") for _ in range(r.randint(1, 12))) for _ in range(2)), key=len)
+        windows = [b[i : i + len(a)] for i in range(len(b) - len(a) + 1)]
+        assert S.partial(a, b, S.blocks) == pytest.approx(1.0 if a == b else max(S.blocks(a, w) for w in windows))
+        ends = [b[:i] for i in range(1, len(a))] + [b[-i:] for i in range(1, len(a))]
+        assert S.partial(a, b) == pytest.approx(max(S.indel(a, w) for w in windows + ends))
+
+
 def test_blocking_smoke(spark):
     rows = [("S1-1", "5mart Development LLC", "0337 Main St", "US"), ("S1-2", "Escobedo Smart of Williamson", "20 Oak Ave", "US"), ("S2-1", "Smart Development LLC", "337 Main St", "US"), ("S2-2", "Williamson Smart of Escobedo", "20 Oak Avenue", "US"), ("S3-1", "Unrelated Co", "1 Nowhere Rd", "US")]
     d = records.rule_form(spark.createDataFrame(rows, tables.RECORD))
