@@ -37,13 +37,19 @@ SURE_AT = 40
 #: Characters counted or scored at once.
 AT_ONCE = 1 << 22
 SPACE = 32
+#: Codes without letters, the surrogates and the private ones: letters above U+FFFF go there, those of a script each to its own.
+WIDE, WIDE_CODES = 0xD800, 0x2100
 #: Odd multiplier that spreads pairs of characters; a 32-bit number times it stays below 2 ** 63.
 SPREAD = 0x5BD1E995
 _LOW = np.array([chr(c).isalpha() for c in range(0x3000)])
 
 
 def codes(text: str | None) -> np.ndarray:
-    """Lower-cased letters as 16-bit codes; each run of anything else is one space; none at the ends."""
+    """Lower-cased letters as 16-bit codes; each run of anything else is one space; none at the ends.
+
+    Letters above U+FFFF that lie a multiple of WIDE_CODES apart share a code: never two of one script, but for the
+    rare ideographs beyond the first 8,448 of their extension.
+    """
     if not text:
         return np.zeros(0, np.uint64)
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
@@ -52,7 +58,7 @@ def codes(text: str | None) -> np.ndarray:
     if len(high):
         kinds, back = np.unique(c[high], return_inverse=True)
         letter[high] = np.array([chr(k).isalpha() for k in kinds])[back]
-    c = np.where(letter, np.minimum(c, 0xFFFF), SPACE)
+    c = np.where(letter, np.where(c > 0xFFFF, WIDE + (c - 0x10000) % WIDE_CODES, c), SPACE)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     c = c[keep]

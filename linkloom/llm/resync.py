@@ -27,7 +27,7 @@ LIMIT = 4096
 
 
 class Counter:
-    """Counts a model's tokens. Models that map or squeeze characters are encoded whole."""
+    """Counts a model's tokens. Models that map or squeeze characters, whose pieces' places are not those of the text, are refused."""
 
     def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         with open(path, "rb") as f:
@@ -38,8 +38,8 @@ class Counter:
         self.inside = {x[k : k + 2] for x in own for k in range(len(x) - 1)}
         self.sizes = np.array([0 if p.is_byte(i) or p.is_control(i) or p.is_unknown(i) else len(p.id_to_piece(i)) for i in range(p.get_piece_size())])
         self.bytes = np.array([p.is_byte(i) for i in range(p.get_piece_size())])
-        self.known = {x for x in own if len(x) == 1}
-        self.whole = bool(n.map.units) or n.squeeze or n.suffix or not n.prefix or not n.escape
+        if n.map.units or n.squeeze or n.suffix or not n.prefix or not n.escape:
+            raise ValueError("chunks can be spliced for models only that keep every character and mark spaces")
 
     def starts(self, text: str, ids: list[int]) -> dict[int, int]:
         """Offset in ``text`` at which a token starts: number of tokens before. Starts inside a character are left out."""
@@ -65,7 +65,7 @@ class Counter:
         return 0 < at < len(text) and text[at - 1 : at + 1].replace(" ", MARK.decode()) not in self.inside
 
     def count(self, text: str) -> int:
-        if self.whole or len(text) <= self.chunk:
+        if len(text) <= self.chunk:
             return len(self.library.encode(text, num_threads=1))
         total, begin, skip = 0, 0, 0
         # skip: the offset in the text up to which tokens are counted already

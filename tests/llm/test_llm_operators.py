@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from linkloom.llm import bloom, curriculum, langid, linecrf, pieces, resync, shards, simhash, suffixes, weaklabel
+from linkloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, size string, target string, fp int, a string, b string, id string, row string, `__size` string, `__id` string, `__own` string, n int"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -151,6 +153,12 @@ def test_kneser_ney_sums_to_one_and_identifies(spark, sf_dir, docs, empty):
     assert [odd[i].lang_pred for i in (0, 1, 2)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in odd.values())
     assert langid.identified(empty, langid.train(empty)).count() == 0
     assert {r.lang_pred for r in langid.identified(docs, langid.train(empty)).collect()} == {"und"}
+    # Scripts above U+FFFF keep their letters apart, from each other and from other scripts.
+    adlam, osage = (("".join(chr(a + k) for k in ks)) for a, ks in ((0x1E922, (0, 5, 9, 3)), (0x104D8, (0, 7, 2, 8))))
+    assert len(set(langid.codes(adlam).tolist()) | set(langid.codes(osage).tolist())) == 8
+    wide = spark.createDataFrame([("ff", f"{adlam} {adlam[::-1]}"), ("osa", f"{osage} {osage[::-1]}")], "lang string, text string")
+    both = spark.createDataFrame([(1, adlam), (2, osage)], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identified(both, langid.train(wide)).collect()} == {1: "ff", 2: "osa"}
     # Models in slices, held one after the other, say what whole models say.
     parts = langid.train(d.filter("doc_id % 4 <> 2").select("lang", "text"), trained.grams.count() // 4)
     assert trained.slices == 1 and parts.slices == 5 and trained.grams.count() == sum(len(m.orders[-1][0]) for k in range(5) for m in parts.part(k).models)
@@ -332,6 +340,55 @@ def test_mixture(docs, empty, spark):
     assert [r.doc_id for r in curriculum.mixture(more, curriculum.word_count()).collect() if r.doc_id is not None] == first
 
 
+def _fold(i):
+    return zlib.crc32(str(i).encode()) % 4
+
+
+def test_language_query_holds_out_its_fold(spark, sf_dir):
+    """held_out by crc32 of the id, and probabilities by the definition of Kneser-Ney, by counting, of the other folds' texts."""
+    d = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()}
+    got = langid.op2_kneser_ney_language(spark, sf_dir).collect()
+    assert len(got) == len(d) and all(r.held_out == (_fold(r.doc_id) == 2) and 0 <= r.score <= 1 for r in got)
+    assert np.mean([r.lang_pred == d[r.doc_id].lang for r in got if r.held_out and d[r.doc_id].lang and r.lang_pred != "und"]) > 0.9
+    counts = {}
+    for i, r in d.items():
+        if _fold(i) != 2 and r.lang and r.text:
+            x = [32] * 3 + langid.codes(r.text).tolist() + [32] if len(langid.codes(r.text)) else []
+            for k in range(3, len(x)):
+                key = tuple(x[k - 3 : k + 1])
+                counts.setdefault(r.lang, Counter())[key] += 1
+
+    def tables(four):
+        out = {4: dict(four)}
+        for n in (3, 2, 1):
+            out[n] = Counter(k[1:] for k in out[n + 1])
+        return out
+
+    models = {lang: tables(c) for lang, c in counts.items()}
+    sums = {lang: {n: {} for n in t} for lang, t in models.items()}
+    for lang, t in models.items():
+        for n, c in t.items():
+            for k, v in c.items():
+                total, kinds = sums[lang][n].get(k[:-1], (0, 0))
+                sums[lang][n][k[:-1]] = total + v, kinds + 1
+
+    def p(lang, key):
+        value = 1.0 / (len(models[lang][1]) + 1)
+        for n in (1, 2, 3, 4):
+            k = key[4 - n :]
+            if k[:-1] in sums[lang][n]:
+                total, kinds = sums[lang][n][k[:-1]]
+                value = max(models[lang][n].get(k, 0) - 0.75, 0) / total + 0.75 * kinds / total * value
+        return value
+
+    for r in sorted(got, key=lambda r: r.doc_id)[:25]:
+        if r.cross_entropy is not None:
+            x = [32] * 3 + langid.codes(d[r.doc_id].text).tolist() + [32]
+            keys = [tuple(x[k - 3 : k + 1]) for k in range(3, len(x))]
+            h = {lang: -np.mean([np.log(p(lang, k)) for k in keys]) for lang in models}
+            assert r.lang_pred == min(sorted(h), key=h.get) and r.cross_entropy == pytest.approx(h[r.lang_pred], abs=1e-4)
+
+
 def _removed(rows):
     seen, out = {}, {}
     for i, t in sorted(set(rows)):
@@ -372,3 +429,64 @@ def test_difference_cover_and_suffix_order():
     order = suffixes.sorted_suffixes(data, at, np.zeros(len(at), np.int64))
     raw = data.tobytes()
     assert [raw[at[k] : at[k] + 100] for k in order] == sorted(raw[a : a + 100] for a in at)
+
+
+def _tables(spark, docs, at):
+    docs.coalesce(1).write.parquet(f"{at}/documents.parquet")
+    rows = [(r.doc_id, int(r.doc_id % 3 > 0), 0) for r in docs.select("doc_id").distinct().collect()]
+    spark.createDataFrame(rows + [(r[0], 0, 1) for r in rows[:3]], "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_queries_against_brute_force(spark, docs, empty, tmp_path):
+    """Every registered query on a table with nulls, empty, long and repeated texts, ties and clashing columns, and on an empty one."""
+    at, none = _tables(spark, docs, tmp_path / "some"), _tables(spark, empty, tmp_path / "none")
+    got = {name: f(spark, at).collect() for name, f in QUERIES.items()}
+    for name, f in QUERIES.items():
+        assert f(spark, none).count() == 0, name
+    n, text = docs.count(), dict(plain(docs))
+    assert all(Counter(r.doc_id for r in rows) == Counter(i for i, _ in plain(docs)) and len(rows) == n for rows in got.values())
+    p = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    of = lambda op: next(rows for name, rows in got.items() if name.startswith(f"op{op}_"))
+    for r in of(1):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id])
+        assert (r.n_words, r.word_chars) == (len(words), sum(map(len, words))) and not (r.base_failed and r.kept)
+    for r in of(4):
+        ids = p.encode(text[r.doc_id], add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(p.decode(ids).encode()).hexdigest()
+    for r in of(5):
+        k = len(p.encode(text[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text[r.doc_id].encode()), k, k > 4096)
+    fp = {i: _simhash(t) for i, t in text.items()}
+    least = _least(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4])
+    assert all((r.fingerprint, r.component_id) == (f"{fp[r.doc_id]:016x}", least[r.doc_id]) for r in of(6))
+    for r in of(7):
+        raw = text[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+    by = Counter(r.shard for r in of(7))
+    assert max(by.values()) - min(by.values()) <= 1 and all(sorted(r.slot for r in of(7) if r.shard == s) == list(range(k)) for s, k in by.items())
+    assert all(r.score == pytest.approx(1 - r.p_bad) and r.kept == (r.p_bad < 0.5) for r in of(8))
+    gone = _removed(plain(docs))
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == gone[r.doc_id] for r in of(10))
+
+
+def test_votes_and_features(spark):
+    """Votes of each labeller on texts made for it, below and above the old limit of 2,000 words; hashed features by their definition."""
+    vote = lambda t, k: weaklabel.junk_votes(weaklabel.style(t))[weaklabel.JUNK.index(k)]
+    for n in (60, 1999, 2000, 6000):
+        loop = b" ".join([b"one", b"two", b"three", b"four"][i % 4] for i in range(n))
+        assert vote(loop, "variety") == weaklabel.BAD and vote(loop, "repeats") == weaklabel.BAD
+        prose = " ".join(f"w{i % 900}x{i * i % 700}" for i in range(n)).encode()
+        assert vote(prose, "variety") == weaklabel.ABSTAIN and vote(prose, "prose") == weaklabel.GOOD
+    assert vote(b"A!! LOUD!! TEXT!!", "upper") == vote(b"A!! LOUD!! TEXT!!", "bangs") == weaklabel.BAD
+    assert vote(b"a | b | c | d", "pipes") == weaklabel.BAD and vote(b"a$$ b%% c##", "symbols") == weaklabel.BAD
+    assert vote(b"so so so so", "beside") == weaklabel.BAD and set(weaklabel.junk_votes(weaklabel.style(b""))) == {weaklabel.ABSTAIN}
+    lexicon = weaklabel.Lexicon((frozenset([b"vile"]), frozenset()), (frozenset(), frozenset([b"hate"])))
+    words = weaklabel.words_of(b"Vile, hateful idiot")
+    assert words == {b"vile", b"hateful", b"idiot"} and lexicon.hits(words, weaklabel.stems(words)) == 2
+    assert lexicon.votes(words, weaklabel.stems(words)) == [weaklabel.BAD, weaklabel.BAD, weaklabel.ABSTAIN, weaklabel.ABSTAIN, weaklabel.BAD]
+    size = (1 << weaklabel.HASH_BITS) - 2
+    own = {1, *(2 + zlib.crc32(w) % size for w in (b"calm", b"text")), 2 + zlib.crc32(b"variety>0.6", weaklabel.OF_NAME) % size, 2 + zlib.crc32(b"variety>0.4", weaklabel.OF_NAME) % size, 2 + zlib.crc32(b"variety>0.2", weaklabel.OF_NAME) % size}
+    own |= {2 + zlib.crc32(f"letters>{x}".encode(), weaklabel.OF_NAME) % size for x in (0.5, 0.7)}
+    assert set(weaklabel.hashed(b"calm text", weaklabel.Lexicon()).tolist()) == own
