@@ -128,8 +128,10 @@ def feature_set_of(about: dict, sets: dict[str, tuple[tuple[str, ...], str]]) ->
 
 
 def report(statistics: DataFrame) -> str:
-    """A small table as Markdown."""
-    rows = statistics.limit(1000).collect()
+    """A table of 1,000 rows at most as Markdown; more are an error."""
+    rows = statistics.limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a report has 1,000 rows at most")
     line = lambda xs: "| " + " | ".join(map(str, xs)) + " |"
     return "\n".join([line(statistics.columns), line("-" * 3 for _ in statistics.columns), *(line(r) for r in rows)])
 

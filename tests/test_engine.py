@@ -289,3 +289,10 @@ def test_learning(spark, tmp_path):
     queries, truth = d.select("query_id").distinct(), d.filter("label = 1").select("query_id", "target_id")
     assert learn.stratified(queries, truth, 20).count() <= 20
     assert learn.distractors(d.select("target_id"), truth, 10).join(truth, "target_id").count() == 0
+
+
+def test_report_is_whole_or_an_error(spark):
+    assert tables.report(spark.range(2)).splitlines() == ["| id |", "| --- |", "| 0 |", "| 1 |"]
+    assert len(tables.report(spark.range(1000)).splitlines()) == 1002
+    with pytest.raises(ValueError, match="1,000"):
+        tables.report(spark.range(1001))
