@@ -83,5 +83,15 @@ BENGALI = (
     {"ং": "n", " ": " "},
 )
 #: The sign that silences a consonant's own vowel, and that vowel.
-VIRAMA = {"devanagari": ("्", "a"), "bengali": ("্", "o")}
+VIRAMA = {"devanagari": ("्", "a"), "bengali": ("্", "o"), "tamil": ("்", "a"), "telugu": ("్", "a"), "kannada": ("್", "a")}
+#: Sounds of letters of the southern scripts that differ from their Unicode names.
+NAMED_CONSONANTS = {
+    "CA": "ch", "CHA": "chh", "TTA": "t", "TTHA": "th", "DDA": "d", "DDHA": "dh", "NNA": "n", "NNNA": "n", "NYA": "ny", "SSA": "sh",
+    "LLA": "l", "LLLA": "zh", "RRA": "r", "RRRA": "r",
+}
+NAMED_VOWELS = {
+    "A": "a", "AA": "a", "I": "i", "II": "i", "U": "u", "UU": "u", "E": "e", "EE": "e", "AI": "ai", "O": "o", "OO": "o", "AU": "au",
+    "VOCALIC R": "ri", "VOCALIC RR": "ri", "VOCALIC L": "li", "VOCALIC LL": "li",
+}
+NAMED_SIGNS = {"ANUSVARA": "m", "VISARGA": "h", "CANDRABINDU": "n"}
 SOUNDEX_CODES = {"BFPV": "1", "CGJKQSXZ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6"}

@@ -49,9 +49,34 @@ def ascii_fold(c: Column) -> Column:
     return F.regexp_replace(fold_accents(c), r"[^\x00-\x7F]", "")
 
 
+def letters(script: str) -> tuple[dict[str, str], dict[str, str], dict[str, str], dict[str, str]]:
+    """Consonants, vowels, vowel signs and other signs of a script; of those without a fixed table by their Unicode names."""
+    if script in ("devanagari", "bengali"):
+        return K.DEVANAGARI if script == "devanagari" else K.BENGALI
+    consonants, vowels, signs = {}, {}, {}
+    others = {c: c for c in map(chr, range(0x20, 0x7F))}
+    for ch in map(chr, range(K.SCRIPTS[script][0], K.SCRIPTS[script][1] + 1)):
+        kind, _, sound = unicodedata.name(ch, "").removeprefix(script.upper()).strip().partition(" ")
+        if kind == "LETTER" and sound in K.NAMED_VOWELS:
+            vowels[ch] = K.NAMED_VOWELS[sound]
+        elif kind == "LETTER" and sound.endswith("A") and " " not in sound:
+            consonants[ch] = K.NAMED_CONSONANTS.get(sound) or sound[:-1].lower()
+        elif kind == "VOWEL" and (sound := sound.removeprefix("SIGN ")) in K.NAMED_VOWELS:
+            signs[ch] = K.NAMED_VOWELS[sound]
+        elif kind == "SIGN" and sound in K.NAMED_SIGNS:
+            others[ch] = K.NAMED_SIGNS[sound]
+        elif kind == "DIGIT":
+            others[ch] = str(unicodedata.digit(ch))
+    return consonants, vowels, signs, others
+
+
+#: letters() of each script that is romanised.
+_LETTERS = {script: letters(script) for script in K.VIRAMA}
+
+
 def transliterate(text: str, script: str) -> str:
     """Consonants carry their own vowel unless a vowel sign or the silencing sign follows."""
-    consonants, vowels, signs, others = K.DEVANAGARI if script == "devanagari" else K.BENGALI
+    consonants, vowels, signs, others = _LETTERS[script]
     silence, own = K.VIRAMA[script]
     text = unicodedata.normalize("NFC", text)
     follows = f"[{''.join(signs)}{silence}]"
@@ -76,7 +101,7 @@ def script_of(text: str) -> str:
 
 
 def romanised(text: str) -> str:
-    """Tokens of Devanagari and Bengali by their tables, other letters by decomposition, the rest dropped."""
+    """Tokens of the five Indic scripts by their letters, others by decomposition, the rest dropped."""
     parts = [transliterate(t, s) if (s := script_of(t)) in K.VIRAMA else t for t in (text or "").split(" ")]
     return unicodedata.normalize("NFKD", " ".join(parts)).encode("ascii", "ignore").decode()
 
@@ -84,7 +109,7 @@ def romanised(text: str) -> str:
 @F.pandas_udf(T.StringType())
 def _romanise(s: pd.Series) -> pd.Series:
     known = {x: romanised(x) for x in s.dropna().unique()}
-    return s.map(known)
+    return pd.Series([known.get(x) for x in s], dtype=object)
 
 
 def any_script(c: Column) -> Column:

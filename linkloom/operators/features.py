@@ -50,10 +50,11 @@ def _flag(c: Column) -> Column:
     return F.when(c, 1.0).otherwise(0.0)
 
 
-def _registry(profile: str, empty: float, variants: bool = False) -> tuple[dict[str, tuple[str, Column, Column]], dict[str, Column], dict[str, Column]]:
+def _registry(profile: str, empty: float, variants: bool = False, acronyms: bool = False) -> tuple[dict[str, tuple[str, Column, Column]], dict[str, Column], dict[str, Column]]:
     """String metrics for S.measured() by name, then features by name, in layers: a layer may use the names of those before it.
 
     ``empty`` is what conflicts are where an address is empty. With ``variants`` names are as similar as their best variants.
+    With ``acronyms`` a name of one short word that begins the other's initials is an abbreviation by 0.9.
     """
     wanted: dict[str, tuple[str, Column, Column]] = {}
 
@@ -81,6 +82,7 @@ def _registry(profile: str, empty: float, variants: bool = False) -> tuple[dict[
     shared = S.overlap(nums("q"), nums("t"))
     split = F.abs(q("n_words") - t("n_words")) >= 2
     flat = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    short = lambda x, y: x("core").rlike("^[a-z]{2,6}$") & y("initials").startswith(x("core"))
     first = {
         "name_token_sort": metric("token_sort", q("full"), t("full")), "name_token_set": metric("token_set", q("full"), t("full")),
         "name_partial": metric("partial", q("full"), t("full")), "name_nospace_partial": metric("partial", flat(q("full")), flat(t("full"))),
@@ -94,7 +96,7 @@ def _registry(profile: str, empty: float, variants: bool = False) -> tuple[dict[
         "used_alt_name": _flag((q("dba_alt") != "") | (t("dba_alt") != "")), "name_soundex_jaccard": S.jaccard(q("soundex"), t("soundex")),
         "name_initials_match": equal(q("initials"), t("initials")), "name_leet_match": equal(q("leet"), t("leet")),
         "name_comp_prefix_match": _flag((F.length(q("comp")) >= 4) & (F.length(t("comp")) >= 4) & (F.substring(q("comp"), 1, 8) == F.substring(t("comp"), 1, 8))),
-        "name_abbreviation_match": _flag(both(q("initials"), t("initials")) & (q("initials") == t("initials")) & split),
+        "name_abbreviation_match": F.when(both(q("initials"), t("initials")) & (q("initials") == t("initials")) & split, 1.0).when(F.lit(acronyms) & (short(q, t) | short(t, q)), 0.9).otherwise(0.0),
         "name_levenshtein_ratio": F.when(both(q("full"), t("full")), lev(q("full"), t("full"))).otherwise(0.0), "name_levenshtein_core": core(lev(q("core"), t("core"))),
         "name_num_tok_match": F.when((F.size(q("num_tokens")) == 0) & (F.size(t("num_tokens")) == 0), 0.5).otherwise(_flag(q("num_tokens") == t("num_tokens"))),
         "name_metaphone_sim": ask("metaphone", F.substring_index(q("core"), " ", 1), F.substring_index(t("core"), " ", 1)),
@@ -135,7 +137,7 @@ def _registry(profile: str, empty: float, variants: bool = False) -> tuple[dict[
 def features(pairs: DataFrame, name: str = "P16") -> DataFrame:
     """(query_id, target_id, the features of a set): one projection, so each metric runs once a pair."""
     names, profile = SETS[name]
-    wanted, first, second = _registry(profile, 0.0 if name == "P7" else 0.5, name in ("P3", "P4"))
+    wanted, first, second = _registry(profile, 0.0 if name == "P7" else 0.5, name in ("P3", "P4"), name in ("P9", "P10"))
     base = [n for n in names if n in first]
     cross = [n for n in names if n in second]
     if cross:

@@ -83,3 +83,27 @@ def stacker(names: tuple[str, ...], probabilities: tuple[str, ...] = ("p1", "p2"
     """A network over scaled features and the base models' probabilities."""
     cols = [*names, *probabilities]
     return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), MultilayerPerceptronClassifier(labelCol="label", layers=[len(cols), *hidden, 2], maxIter=40, seed=42)])
+
+
+def stacked(rows: DataFrame, names: tuple[str, ...], weights: tuple[float, float, float] = (0.40, 0.35, 0.25)) -> DataFrame:
+    """(query_id, target_id, p) of all rows by two tree models and stacker() over both, blended by weight and calibrated.
+
+    Rows are weighted() and split(). The models learn from what is_validation doesn't mark, the calibration from what
+    it marks; where it marks nothing, or only rows of one label, probabilities stay as blended.
+    """
+    learning = rows.filter("NOT is_validation")
+    trees = [boosted(names).fit(rows), forest(names).fit(learning)]
+
+    def with_trees(d: DataFrame) -> DataFrame:
+        for i, model in enumerate(trees, 1):
+            d = model.transform(d).withColumn(f"p{i}", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        return d
+
+    third = stacker(names).fit(with_trees(learning))
+    three = third.transform(with_trees(rows)).withColumn("p3", vector_to_array("probability")[1])
+    p = sum((F.col(f"p{i}") * w for i, w in enumerate(weights, 1)), F.lit(0.0)) / sum(weights)
+    blend = three.select("query_id", "target_id", "label", "is_validation", p.alias("p"))
+    held = blend.filter("is_validation")
+    if held.select("label").distinct().count() == 2:
+        blend = recalibrated(calibrated(held), blend)
+    return blend.select("query_id", "target_id", "p")

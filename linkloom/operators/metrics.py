@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators import decide
+
 
 def counts(predicted: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, tp, fp, fn) of every query."""
@@ -35,8 +39,26 @@ def macro(predicted: DataFrame, truth: DataFrame, queries: DataFrame, beta: floa
     )
 
 
+def baselines(scored: DataFrame, truth: DataFrame, k: int = 5, at: float = 0.5, beta: float = 0.5) -> DataFrame:
+    """(rule, macro_f) of the k best, of a fixed threshold and of the closed-form choice, over the queries that have candidates."""
+    queries = scored.select("query_id").distinct()
+    own = truth.join(queries, "query_id", "left_semi")
+    rules = {"top_k": decide.top_k(scored, k), "fixed_threshold": decide.threshold(scored, at), "closed_form": decide.closed_form(scored, beta)}
+    parts = [by_query(found, own, queries, beta).agg(F.avg("f").alias("macro_f")).select(F.lit(name).alias("rule"), "macro_f") for name, found in rules.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def missed_whole(predicted: DataFrame, truth: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, true_ids, predicted_ids), lists by id, of the first ``most`` queries that have matches and none of them found."""
+    listed = lambda d, name: d.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("target_id")), ",").alias(name))
+    first = counts(predicted, truth, queries).filter("tp = 0 AND fn > 0").select("query_id").orderBy("query_id").limit(most)
+    few = lambda d: d.join(F.broadcast(first), "query_id", "left_semi")  # noqa: E731 - ``most`` ids
+    own = first.join(listed(few(truth), "true_ids"), "query_id").join(listed(few(predicted), "predicted_ids"), "query_id", "left")
+    return own.select("query_id", "true_ids", F.coalesce("predicted_ids", F.lit("")).alias("predicted_ids"))
+
+
 def blocking_recall(candidates: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row: true pairs, those among the candidates, their share, and candidates a query."""
+    """One row: true pairs, those among the candidates, their share, and candidates a query; a share below 0.97 caps what comes after."""
     found = truth.join(candidates.select("query_id", "target_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "target_id"], "left")
     part = found.agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
     each = queries.select("query_id").join(candidates.groupBy("query_id").count(), "query_id", "left")

@@ -540,6 +540,11 @@ query(
 query("metric_false_positives", _with(*_RUNS) + "SELECT a.query_id, a.target_id FROM run_a a ANTI JOIN truth USING (query_id, target_id) ORDER BY 1, 2 LIMIT 20")(lambda s, d: consensus.differences(run_a(s, d), view(s, d, "truth")).filter("kind = 'fp'").select("query_id", "target_id").orderBy("query_id", "target_id").limit(20))
 
 
+query("metric_missed_whole", _with(*_RUNS, *_COUNTS) + "SELECT query_id, (SELECT string_agg(target_id, ',' ORDER BY target_id) FROM truth t WHERE t.query_id = e.query_id) AS true_ids, coalesce((SELECT string_agg(target_id, ',' ORDER BY target_id) FROM run_a a WHERE a.query_id = e.query_id), '') AS predicted_ids FROM e WHERE tp = 0 AND fn > 0 ORDER BY query_id LIMIT 10")(lambda s, d: metrics.missed_whole(run_a(s, d), view(s, d, "truth"), ids(s, d)))
+_SCORE_OF = "SELECT '{rule}' AS rule, round(avg(CASE WHEN 1.25 * tp + 0.25 * (n - tp) + k - tp = 0 THEN 1.0::DOUBLE ELSE 1.25::DOUBLE * tp / (1.25::DOUBLE * tp + 0.25::DOUBLE * (n - tp) + (k - tp)) END), 9) AS macro_f FROM (SELECT query_id, (SELECT count(*) FROM truth t WHERE t.query_id = q.query_id) AS n, coalesce(k, 0) AS k, coalesce(tp, 0) AS tp FROM (SELECT DISTINCT query_id FROM ranked) q LEFT JOIN (SELECT query_id, count(*) AS k, count(x) AS tp FROM {found} LEFT JOIN (SELECT *, 1 AS x FROM truth) USING (query_id, target_id) GROUP BY query_id) USING (query_id))"
+query("metric_baselines", _with(*_EVID, *_CLOSED) + " UNION ALL ".join(_SCORE_OF.format(rule=r, found=f) for r, f in (("top_k", "(SELECT query_id, target_id FROM ranked WHERE rank <= 5)"), ("fixed_threshold", "(SELECT query_id, target_id FROM ranked WHERE p >= 0.5)"), ("closed_form", "(SELECT query_id, target_id FROM ranked JOIN k USING (query_id) WHERE rank <= k)"))))(lambda s, d: metrics.baselines(tables.staged(scored(s, d), "scored"), view(s, d, "truth")).select("rule", F.round("macro_f", 9).alias("macro_f")))
+
+
 @query("metric_rule_grid")
 def metric_rule_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro F of the tunable ladder over 5 x 4 x 3 thresholds: the grid is a column, so evidence is made once."""
@@ -572,3 +577,12 @@ def learned_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = [learn.boosted(names).fit(train), learn.forest(names).fit(train.filter("NOT is_validation"))]
     p = consensus.blended(*((learn.scored(m, rows), w) for m, w in zip(models, (0.55, 0.45), strict=True)))
     return tables.joined(decide.base_sibling(p, 0.7, 0.5), ids(spark, sf_dir), names=("query_id", "target_ids"))
+
+
+@query("stacked_links")
+def stacked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tree models, a network over the features and both probabilities, blended and calibrated; the closed-form choice; every query."""
+    truth, names = view(spark, sf_dir, "truth"), features.SETS["P16"][0]
+    rows = blocking.labelled(features.features(_feature_pairs(spark, sf_dir), "P16"), truth).fillna(0.0)
+    p = learn.stacked(tables.staged(learn.weighted(learn.split(rows)), "training"), names)
+    return tables.joined(decide.closed_form(p), ids(spark, sf_dir), names=("query_id", "target_ids"))

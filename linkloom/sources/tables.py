@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +103,24 @@ def unfinished(queries: DataFrame, done: DataFrame) -> DataFrame:
     return queries.join(done.select("query_id").distinct(), "query_id", "left_anti")
 
 
+def resumed(queries: DataFrame, path: str, work: Callable[[DataFrame], DataFrame]) -> int:
+    """Appends what ``work`` gives for the queries that the table at ``path`` lacks, and returns how many those were.
+
+    ``work`` has to return one row for each query it is given, with query_id; what a broken run has
+    committed stays, so a run that starts again does the rest only. Where nothing is left, nothing is written.
+    """
+    try:
+        left = unfinished(queries, queries.sparkSession.read.parquet(path))
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        left = queries
+    n = left.count()
+    if n:
+        work(left).write.mode("append").parquet(path)
+    return n
+
+
 def resynced(candidates: DataFrame, done: DataFrame) -> DataFrame:
     return candidates.join(done.select("query_id").distinct(), "query_id", "left_semi")
 

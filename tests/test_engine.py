@@ -18,7 +18,7 @@ from linkloom.plans import registry
 from linkloom.sources import tables
 from linkloom.streaming import scoring
 
-QUICK = ("link_names", "name_forms", "address_forms", "token_frequency", "pool_size", "leet_by_frequency", "block_rarest", "block_places", "block_jaccard_prefix", "set_evidence", "rule_R2", "decide_closed_form", "consensus_else_second", "metric_macro", "metric_grid", "sink_matches", "rule_R11", "rule_R13", "rule_R15", "rule_R17", "kept_candidates", "consensus_recovering", "block_staged", "block_locality")
+QUICK = ("link_names", "name_forms", "address_forms", "token_frequency", "pool_size", "leet_by_frequency", "block_rarest", "block_places", "block_jaccard_prefix", "set_evidence", "rule_R2", "decide_closed_form", "consensus_else_second", "metric_macro", "metric_grid", "sink_matches", "rule_R11", "rule_R13", "rule_R15", "rule_R17", "kept_candidates", "consensus_recovering", "block_staged", "block_locality", "metric_missed_whole", "metric_baselines")
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -296,3 +296,55 @@ def test_report_is_whole_or_an_error(spark):
     assert len(tables.report(spark.range(1000)).splitlines()) == 1002
     with pytest.raises(ValueError, match="1,000"):
         tables.report(spark.range(1001))
+
+
+@pytest.mark.parametrize(("text", "want"), [("தமிழ்", "tamizh"), ("తెలుగు", "telugu"), ("ಕನ್ನಡ", "kannada"), ("சென்னை 24", "chennai 24"), ("కంపెనీ", "kampeni"), ("ಬೆಂಗಳೂರು Pvt", "bemgaluru Pvt"), ("தமிழ்12", "tamizh12"), ("தொ", "to"), ("राम", "rama"), ("", ""), (None, "")])
+def test_romanised_scripts(text, want):
+    assert X.romanised(text) == want
+
+
+def test_romanised_column(spark):
+    own = spark.createDataFrame([("தமிழ்",), ("Café",), (None,)], "x string").select(X.any_script(F.col("x")).alias("y"))
+    assert [r.y for r in own.collect()] == ["tamizh", "Cafe", None]
+
+
+def test_abbreviation_of_initials(spark):
+    rows = [("q", "ibm", "", "US"), ("r", "x", "", "US")], [("t", "international business machines bureau", "", "US"), ("u", "great western bank", "", "US")]
+    q, t = (records.feature_form(spark.createDataFrame(r, tables.RECORD)) for r in rows)
+    both = blocking.looked_up(blocking.every_pair(q, t), q, t)
+    names = {(r.query_id, r.target_id): (r["q"].n.core, r["t"].n.initials) for r in both.collect()}
+    for name, part in (("P9", 0.9), ("P10", 0.9), ("P11", 0.0)):
+        got = {(r.query_id, r.target_id): r.name_abbreviation_match for r in features.features(both, name).collect()}
+        assert got == {k: part if 2 <= len(core) <= 6 and core.isalpha() and initials.startswith(core) else 0.0 for k, (core, initials) in names.items()}
+
+
+def test_queries_missed_whole(spark):
+    truth = spark.createDataFrame([("a", "t2"), ("a", "t1"), ("b", "t1"), ("c", "t9")], "query_id string, target_id string")
+    found = spark.createDataFrame([("a", "t3"), ("b", "t1"), ("d", "t1")], "query_id string, target_id string")
+    queries = spark.createDataFrame([(x,) for x in "abcd"], "query_id string")
+    assert [tuple(r) for r in metrics.missed_whole(found, truth, queries).orderBy("query_id").collect()] == [("a", "t1,t2", "t3"), ("c", "t9", "")]
+    assert [tuple(r) for r in metrics.missed_whole(found, truth, queries, 1).collect()] == [("a", "t1,t2", "t3")]
+    assert metrics.missed_whole(found, truth.limit(0), queries).count() == 0
+
+
+def test_resumed_sink(spark, tmp_path):
+    queries = spark.createDataFrame([(f"q{i}",) for i in range(6)], "query_id string")
+    seen = []
+
+    def work(left):
+        seen.append(sorted(r.query_id for r in left.collect()))
+        return left.withColumn("ids", F.lit("t"))
+
+    at = str(tmp_path / "out")
+    assert [tables.resumed(queries.filter("query_id < 'q2'"), at, work), tables.resumed(queries, at, work), tables.resumed(queries, at, work)] == [2, 4, 0]
+    assert seen == [["q0", "q1"], ["q2", "q3", "q4", "q5"]]
+    assert sorted(r.query_id for r in spark.read.parquet(at).collect()) == [f"q{i}" for i in range(6)]
+
+
+def test_stacked_models(spark):
+    r = random.Random(5)
+    rows = [(f"q{i // 4}", f"t{i}", x := r.random(), r.random(), int(x > 0.7)) for i in range(400)]
+    d = spark.createDataFrame(rows, "query_id string, target_id string, f1 double, f2 double, label int")
+    out = learn.stacked(learn.weighted(learn.split(d)), ("f1", "f2")).join(d, ["query_id", "target_id"]).collect()
+    assert len(out) == 400 and all(0 < x.p < 1 for x in out)
+    assert sum((x.p > 0.5) == (x.label == 1) for x in out) > 370
