@@ -348,3 +348,8 @@ def test_stacked_models(spark):
     out = learn.stacked(learn.weighted(learn.split(d)), ("f1", "f2")).join(d, ["query_id", "target_id"]).collect()
     assert len(out) == 400 and all(0 < x.p < 1 for x in out)
     assert sum((x.p > 0.5) == (x.label == 1) for x in out) > 370
+
+def test_records_are_dealt_before_their_forms_are_made(spark, sf_dir):
+    """A file is read in a task or two, however many rows it holds."""
+    assert registry.QUERIES["feature_forms"](spark, sf_dir).rdd.getNumPartitions() == 4
+    assert records.dealt(registry.view(spark, sf_dir, "s1")).rdd.getNumPartitions() == 4
