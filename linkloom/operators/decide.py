@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from linkloom.sources.tables import merged
+
 PRESETS = {"tuned": None, "strict": (0.90, 0.70), "balanced": (0.78, 0.55)}
 
 
@@ -105,7 +107,7 @@ def closed_form_siblings(scored: DataFrame, beta: float = 0.5, sure: float = 0.7
     base = closed_form(scored, beta)
     more = ranked(scored).filter(F.col("p") >= sibling)
     sure_ones = base.filter((F.col("rank") == 1) & (F.col("p") >= sure)).select("query_id")
-    return base.select("query_id", "target_id", "p", "rank").unionByName(more.join(sure_ones, "query_id", "left_semi").select("query_id", "target_id", "p", "rank")).distinct()
+    return base.select("query_id", "target_id", "p", "rank").unionByName(more.join(merged(sure_ones), "query_id", "left_semi").select("query_id", "target_id", "p", "rank")).distinct()
 
 
 def mean_tail(scored: DataFrame, beta: float = 0.5, most: int | None = None) -> DataFrame:

@@ -349,6 +349,13 @@ def test_stacked_models(spark):
     assert len(out) == 400 and all(0 < x.p < 1 for x in out)
     assert sum((x.p > 0.5) == (x.label == 1) for x in out) > 370
 
+@pytest.mark.parametrize("name", ["block_two_tokens", "block_staged", "set_evidence", "group_features", "consensus_clean", "consensus_differences", "consensus_agreement", "consensus_counters", "decide_closed_form_siblings"])
+def test_no_table_of_records_or_pairs_is_broadcast(spark, sf_dir, name):
+    """Spark reads the size of compressed files, which is far below that of the rows; so it must not choose by it."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_records_are_dealt_before_their_forms_are_made(spark, sf_dir):
     """A file is read in a task or two, however many rows it holds."""
     assert registry.QUERIES["feature_forms"](spark, sf_dir).rdd.getNumPartitions() == 4
