@@ -31,6 +31,8 @@ BLOCKS = {5: ((0, 21), (21, 21), (42, 22)), 7: ((0, 16), (16, 16), (32, 16), (48
 #: Bits in which two fingerprints of 64 bits each may differ in all, where a second one confirms the first:
 #: the angle of 20 of 128 bits is that of two shingle sets with a Jaccard similarity of 0.8.
 CONFIRMED_BITS = 20
+#: Bits in which fingerprints of near copies that the anchor cover finds may differ: the most that the three wide blocks hold.
+NEAR_BITS = 5
 #: Jaccard similarity of near copies, as a fraction.
 LEAST = (4, 5)
 #: Pairs whose two fingerprints differ in more of the 128 bits are dropped uncounted: at a similarity of 0.8
@@ -177,7 +179,7 @@ def _links(run: np.ndarray, block: np.ndarray, home: np.ndarray, fp: np.ndarray,
 
 
 def near_edges(nodes: DataFrame, threshold: int = 4) -> DataFrame:
-    """Links (a, b) between rows of ``nodes`` (node, fp, second): enough of them to join all that link.
+    """Links (a, b) between rows of ``nodes`` (node, fp, second): enough of them to join all that link, by the anchor cover.
 
     Two nodes link if their fps differ in at most ``threshold`` bits (7 at most), and, where their
     ``second`` fingerprints differ, both pairs together in at most CONFIRMED_BITS. An anchor with many
@@ -307,6 +309,14 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(line[i:j], SEED) for i, j in zip(starts, stops, strict=True)], np.uint64))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that a worker holds the shingles of few texts at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     """Another 64 bits from each hash."""
     for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
@@ -351,7 +361,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int, common:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for t in b.column(2).to_pylist():
                 h = shingle_hashes(t, shingle)
@@ -373,7 +383,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, fps: DataFrame, text_col: str, s
     texts = written(fps.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("own").alias("__own")).select("__own"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingle_hashes(t, shingle) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "set"])
 
@@ -402,24 +412,34 @@ def _can_meet(a: str, b: str) -> Column:
 def similar_edges(docs: DataFrame, fps: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """Links (a, b) between ``nodes``: enough of them to join all whose similarity is LEAST or more.
 
-    Nodes that share a shingle of their prefixes, at places that leave enough to share, are candidates.
+    Candidates come from the anchor cover of the fingerprints, NEAR_BITS wide; the shingle sets decide on them.
+    Similar sets may have fingerprints further apart. The exact way for those: nodes on different roots that
+    share a shingle of their prefixes, at places that leave enough to share, are candidates too.
     First each is held against one node a shingle, the one that has it earliest: that one has the fewest
     rare shingles, so it lies in the middle of its group, and the links to it join most of the group at a linear
     cost. Then all candidates that are not joined yet are held against each other, so that nothing is missed.
     """
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    alike = nodes.groupBy("fp").agg(F.min("node").alias("one"))
+    same = nodes.join(alike, "fp").filter("node <> one").select(*pair("node", "one"))
+    homes = alike.select(F.col("one").alias("node"), "fp", F.lit(0).cast("bigint").alias("second"))
+    cover = written(near_edges(written(homes, "homes"), NEAR_BITS).select(*pair("a", "b")).unionByName(same).distinct(), "cover")
+    covered = _similar(cover, docs, fps, text_col, shingle)
+    of = written(components(covered), "of")
     # Most shingles are in one text only: the exact stage's filter leaves those out before anything is shuffled.
     every = fps.select("node", "n", "fp", "second", F.posexplode("prefix").alias("pos", "h"))
     posts = possibly_repeated(every).filter("maybe").drop("maybe").withColumnRenamed("h", "key")
     shared = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     posts = posts.join(shared, "key", "left_semi").distinct()
-    posts = written(posts.select("key", F.struct("node", "n", "pos", "fp", "second").alias("x")), "posts")
-    lead = posts.groupBy(F.col("key").alias("lkey")).agg(F.min_by("x", F.struct("x.pos", F.xxhash64("x.node"))).alias("y"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = posts.join(lead, (F.col("key") == F.col("lkey")) & (F.col("x.node") != F.col("y.node")) & _can_meet("x", "y"))
-    stars = written(stars.select(*pair("x.node", "y.node")).distinct(), "stars")
-    first = _similar(stars, docs, fps, text_col, shingle)
+    posts = posts.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    posts = written(posts.select("key", F.struct("node", "n", "pos", "fp", "second").alias("x"), "root"), "posts")
+    lead = posts.groupBy(F.col("key").alias("lkey")).agg(F.min_by(F.struct("x", "root"), F.struct("x.pos", F.xxhash64("x.node"))).alias("y"))
+    lead = lead.select("lkey", F.col("y.x").alias("y"), F.col("y.root").alias("lroot"))
+    stars = posts.join(lead, (F.col("key") == F.col("lkey")) & (F.col("root") != F.col("lroot")) & _can_meet("x", "y"))
+    stars = written(stars.select(*pair("x.node", "y.node")).distinct().join(cover, ["a", "b"], "left_anti"), "stars")
+    first = covered.unionByName(_similar(stars, docs, fps, text_col, shingle))
     roots = components(first).select(F.col("node").alias("of"), "root")
-    tagged = posts.join(roots, F.col("x.node") == F.col("of"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root"))
+    tagged = posts.drop("root").join(roots, F.col("x.node") == F.col("of"), "left").select("key", "x", F.coalesce("root", "x.node").alias("root"))
     tagged = written(tagged, "tagged")
     # Of two nodes on different roots one at least is outside the shingle's largest root.
     sizes = tagged.groupBy("key", "root").count().groupBy("key")
@@ -427,7 +447,7 @@ def similar_edges(docs: DataFrame, fps: DataFrame, nodes: DataFrame, text_col: s
     minor = tagged.join(largest, "key").filter("root <> most").select(F.col("key").alias("mkey"), F.col("x").alias("y"), F.col("root").alias("mroot"))
     # Both may be outside it: then the pair is met twice, and once is enough.
     rest = tagged.join(minor, (F.col("key") == F.col("mkey")) & (F.col("root") != F.col("mroot")) & _can_meet("x", "y"))
-    rest = written(rest.select(*pair("x.node", "y.node")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = written(rest.select(*pair("x.node", "y.node")).distinct().join(stars.unionByName(cover), ["a", "b"], "left_anti"), "rest")
     return first.unionByName(_similar(rest, docs, fps, text_col, shingle))
 
 
@@ -435,7 +455,7 @@ def near_copies_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` without the rows whose component has a smaller id; all columns stay as they are.
 
     Two texts are near copies if the sets of their ``shingle``-word shingles have a Jaccard similarity of
-    LEAST or more. Rows with equal ids stay or go together; rows with a null id stay. Null texts and texts without
+    LEAST or more; they are found by the anchor cover of their SimHashes, and exactly where those lie too far apart. Rows with equal ids stay or go together; rows with a null id stay. Null texts and texts without
     words are near copies of each other; a text shorter than a shingle is one shingle. An empty table gives an
     empty result; other columns are passed through, whatever their names.
     """

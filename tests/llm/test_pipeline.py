@@ -106,3 +106,21 @@ def test_dedup_stages_by_brute_force(spark, sf_dir):
     want = _first_of_near(left)
     assert {r.doc_id for r in corpus_pipeline.near(spark, common.written(exact, "test"), sf_dir).collect()} == want
     assert len(want) < len(left)
+
+
+def test_near_copies_come_from_the_anchor_cover(spark, monkeypatch):
+    """The cover's links are asked for, and with and without any of them the same rows stay."""
+    texts = {2 * k + j: " ".join([f"w{k}x{i}" for i in range(300)] + [f"end{k}x{j}"] + ["all"] * 3) for k in range(20) for j in range(2)}
+    texts[99] = texts[3].upper()  # the same set of shingles
+    docs, seen, own = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), [], simhash.near_edges
+
+    def cover(nodes, threshold):
+        found = own(nodes, threshold)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "near_edges", cover)
+    kept = {r.doc_id for r in simhash.near_copies_dropped(docs).collect()}
+    assert seen and seen[0] >= 15 and kept == _first_of_near(texts) == set(range(0, 40, 2))
+    monkeypatch.setattr(simhash, "near_edges", lambda nodes, threshold: own(nodes, threshold).limit(0))
+    assert {r.doc_id for r in simhash.near_copies_dropped(docs).collect()} == kept
