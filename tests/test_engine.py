@@ -360,3 +360,29 @@ def test_records_are_dealt_before_their_forms_are_made(spark, sf_dir):
     """A file is read in a task or two, however many rows it holds."""
     assert registry.QUERIES["feature_forms"](spark, sf_dir).rdd.getNumPartitions() == 4
     assert records.dealt(registry.view(spark, sf_dir, "s1")).rdd.getNumPartitions() == 4
+
+
+@pytest.fixture(scope="module")
+def repeated_parts(spark, sf_dir, tmp_path_factory):
+    """``part`` three times: keys 9,000 apart make records of equal texts."""
+    at = str(tmp_path_factory.mktemp("repeated"))
+    spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(3))))).withColumn("p_partkey", F.col("p_partkey") + 9000 * F.col("k")).drop("k").write.parquet(f"{at}/part.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["set_evidence"])
+def test_equal_queries_are_asked_once(spark, sf_dir, repeated_parts, monkeypatch, name):
+    """And once for all runs that a query compares; every one of them is told."""
+    seen, own = [], blocking.rule_candidates
+    monkeypatch.setattr(blocking, "rule_candidates", lambda q, t: seen.append(q.count()) or own(q, t))
+    got = registry.QUERIES[name](spark, repeated_parts).toPandas()
+    assert seen == [spark.read.parquet(f"{sf_dir}/part.parquet").count()]
+    if name in registry.ORACLES:
+        con = duckdb.connect()
+        con.sql(f"create view part as select * from '{repeated_parts}/part.parquet/*.parquet'")
+        want = con.sql(registry.ORACLES[name]).df()
+        cols = sorted(want.columns)
+        want, got = (x[cols].sort_values(cols).reset_index(drop=True) for x in (want, got))
+        pd.testing.assert_frame_equal(got, want, check_dtype=False)
+    else:
+        assert 3 * len(got[got.query_id.str[3:].astype(int) < 9000]) == len(got)
