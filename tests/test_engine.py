@@ -370,7 +370,7 @@ def repeated_parts(spark, sf_dir, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["set_evidence", "consensus_majority", "consensus_calibrated", "consensus_clean", "consensus_union", "consensus_differences", "decide_exact", "decide_closed_form_siblings", "consensus_counters", "consensus_list_whole", "consensus_fullest", "consensus_else_second", "consensus_else_first", "consensus_list", "consensus_intersection", "consensus_exact_or_script", "consensus_recovering"])
+@pytest.mark.parametrize("name", ["set_evidence", "consensus_majority", "consensus_calibrated", "consensus_clean", "consensus_union", "consensus_differences", "decide_exact", "decide_closed_form_siblings", "consensus_counters", "consensus_list_whole", "consensus_fullest", "consensus_else_second", "consensus_else_first", "consensus_list", "consensus_intersection", "consensus_exact_or_script", "consensus_recovering", "consensus_validated"])
 def test_equal_queries_are_asked_once(spark, sf_dir, repeated_parts, monkeypatch, name):
     """And once for all runs that a query compares; every one of them is told."""
     seen, own = [], blocking.rule_candidates
