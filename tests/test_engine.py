@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -386,3 +387,27 @@ def test_equal_queries_are_asked_once(spark, sf_dir, repeated_parts, monkeypatch
         pd.testing.assert_frame_equal(got, want, check_dtype=False)
     else:
         assert 3 * len(got[got.query_id.str[3:].astype(int) < 9000]) == len(got)
+
+
+@pytest.mark.parametrize("name", ["consensus_recovering"])
+def test_runs_of_a_consensus_are_not_joined(spark, sf_dir, name):
+    """The driver plans three joins at last, two for the records and one for those who are told; candidates lie written."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin \w+,", plan)) == 3
+
+
+def test_side_by_side(spark, sf_dir):
+    """Ranks are those of by_ladder(); gates, then by query what both have, else all of a, else what is recovered of b."""
+    own = rules.evidence(registry.pairs(spark, sf_dir))
+    got = rules.side_by_side(own, {"ra": "R8", "rb": "R11"}, {"core": F.col("core_sort")}).filter("ra IS NOT NULL OR rb IS NOT NULL")
+    want = consensus.both(rules.by_ladder(own, "R8"), rules.by_ladder(own, "R11"))
+    key = ["query_id", "target_id"]
+    pd.testing.assert_frame_equal(*(d.select(*key, "ra", "rb").toPandas().sort_values(key).reset_index(drop=True) for d in (got, want)), check_dtype=False)
+    with pytest.raises(ValueError, match="order"):
+        rules.side_by_side(own, {"ra": "R17"}, {})
+    rows = [
+        ("Q1", "T1", 2, 1, True, True, False), ("Q1", "T2", 1, None, True, True, True), ("Q2", "T1", 1, None, False, True, True), ("Q2", "T2", 2, 2, True, False, True), ("Q2", "T3", None, 1, True, True, True),
+        ("Q3", "T1", None, 1, True, True, None), ("Q3", "T2", None, 2, True, True, True), ("Q3", "T3", 1, 3, None, True, True), ("Q3", "T4", None, 4, True, True, True), ("Q4", "T1", None, 1, True, True, False),
+    ]
+    made = spark.createDataFrame(rows, "query_id string, target_id string, ra int, rb int, gate_a boolean, gate_b boolean, ok boolean")
+    assert sorted(tuple(r) for r in consensus.marked_consensus(made, 2).collect()) == [("Q1", "T1", 1), ("Q2", "T2", 1), ("Q3", "T2", 1), ("Q3", "T3", 2)]
