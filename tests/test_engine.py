@@ -389,7 +389,7 @@ def test_equal_queries_are_asked_once(spark, sf_dir, repeated_parts, monkeypatch
         assert 3 * len(got[got.query_id.str[3:].astype(int) < 9000]) == len(got)
 
 
-@pytest.mark.parametrize("name", ["consensus_recovering"])
+@pytest.mark.parametrize("name", ["consensus_recovering", "consensus_validated"])
 def test_runs_of_a_consensus_are_not_joined(spark, sf_dir, name):
     """The driver plans three joins at last, two for the records and one for those who are told; candidates lie written."""
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
